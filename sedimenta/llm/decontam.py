@@ -67,11 +67,11 @@ def winnowed(df: DataFrame, span: int, k: int, short: list[int]) -> DataFrame:
     )
     parts = [F.when(n >= span, kept).otherwise(F.array().cast("array<long>"))]
     # a gram of a short item is hashed with its length, so lengths do not meet
-    for m in short:
-        seeded = F.transform(
-            F.sequence(F.lit(0), n - m), lambda i, m=m: _packed(F.xxhash64(F.lit(m), _hash_at(h, i, m)), i)
-        )
-        parts.append(F.when(n >= m, seeded).otherwise(F.array().cast("array<long>")))
+    def seeded(m: int) -> Column:
+        made = F.transform(F.sequence(F.lit(0), n - m), lambda i: _packed(F.xxhash64(F.lit(m), _hash_at(h, i, m)), i))
+        return F.when(n >= m, made).otherwise(F.array().cast("array<long>"))
+
+    parts += map(seeded, short)
     return df.withColumn("_fps", F.concat(*parts) if len(parts) > 1 else parts[0]).drop("_h", "_g")
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from sedimenta.llm import decontam
+from sedimenta.llm import decontam, line_dedup, secrets
 
 QUERIES = {
     "op2_winnowing_decontamination": decontam.op2_winnowing_decontamination,
+    "op4_secret_ownership": secrets.op4_secret_ownership,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
 }
 
 ORACLE_SQL = {
     "op2_winnowing_decontamination": decontam.OP2_SQL,
+    "op4_secret_ownership": secrets.OP4_SQL,
+    "op5_line_dedup": line_dedup.OP5_SQL,
 }
