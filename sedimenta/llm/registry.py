@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from sedimenta.llm import decontam, line_dedup, secrets
+from sedimenta.llm import bpe, decontam, line_dedup, secrets, sharding
 
 QUERIES = {
     "op2_winnowing_decontamination": decontam.op2_winnowing_decontamination,
+    "op3_bpe_tree": bpe.op3_bpe_tree,
     "op4_secret_ownership": secrets.op4_secret_ownership,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op9_rendezvous_sharding": sharding.op9_rendezvous_sharding,
 }
 
 ORACLE_SQL = {
