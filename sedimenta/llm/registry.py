@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from sedimenta.llm import bpe, decontam, line_dedup, secrets, sharding
+from sedimenta.llm import bpe, decontam, divergence, jaccard, line_dedup, quality, secrets, sharding
 
 QUERIES = {
+    "op1_distribution_divergence": divergence.op1_distribution_divergence,
     "op2_winnowing_decontamination": decontam.op2_winnowing_decontamination,
     "op3_bpe_tree": bpe.op3_bpe_tree,
     "op4_secret_ownership": secrets.op4_secret_ownership,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_ngram_jaccard_join": jaccard.op6_ngram_jaccard_join,
     "op9_rendezvous_sharding": sharding.op9_rendezvous_sharding,
+    "op10_hierarchical_quality": quality.op10_hierarchical_quality,
 }
 
 ORACLE_SQL = {
