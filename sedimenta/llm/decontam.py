@@ -193,6 +193,31 @@ def decontaminate(
     )
 
 
+def clean(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_items: int = 1
+) -> DataFrame:
+    """``docs`` without the documents that hold passages of more than ``max_items`` items; from the texts of
+    the others the hit words go, with what lies between them. Documents without hits stay as they are.
+    """
+    found = decontaminate(docs, benchmark, id_col, text_col).filter("n_hit > 0").select("_id", "_th", "hits", "item_ids").distinct()
+    whole = keyed(docs, id_col, text_col, F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
+    out = key_join(whole, found, "left").filter(F.col("hits").isNull() | (F.size("item_ids") <= max_items))
+    # the pieces of a text in turn: what is between words, then the word
+    ends = F.transform("hits", lambda x: x["s"] + x["m"])
+    begins = F.transform("hits", lambda x: x["s"])
+    pieces = F.regexp_extract_all("_text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0))
+    # spans come sorted, so the kept pieces lie between the furthest end so far and the next begin
+    after = F.concat(F.array(F.lit(0)), F.transform(F.sequence(F.lit(1), F.size(ends)), lambda i: F.array_max(F.slice(ends, 1, i))))
+    upto = F.concat(begins, F.array(F.size("_pieces")))
+    left = F.flatten(
+        F.zip_with(after, upto, lambda a, b: F.when(b > a, F.slice(F.col("_pieces"), a + 1, b - a)).otherwise(F.array().cast("array<string>")))
+    )
+    head = F.regexp_extract("_text", r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
+    out = out.withColumn("_pieces", F.when(F.col("hits").isNotNull(), pieces))
+    text = F.when(F.col("hits").isNull(), F.col("_text")).otherwise(F.concat(head, F.array_join(left, "")))
+    return out.select(*[text.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+
+
 def op2_winnowing_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")

@@ -1,7 +1,8 @@
 """Quality rules by distribution divergence.
 
 Each language has a reference: the mean histogram of character classes and of common words
-over all its documents that pass the base rules and are long enough. A document is kept if the
+over all its documents that pass the base rules and are long enough. The mean is taken twice,
+the second time without the documents far from the first. A document is kept if the
 Jensen-Shannon distances of its own histograms to those of its language are within limits.
 Guards: a short text has a wider limit, as its histogram is noisy, and below a minimum of words
 none; a language with few documents has no reference and gives no verdict.
@@ -22,7 +23,7 @@ MIN_WORDS = 50
 #: Documents that a language's reference needs.
 MIN_DOCS = 20
 #: Limits on the two distances, and what is added for noise: NOISE * sqrt(bins / observations).
-CLASS_LIMIT, WORD_LIMIT, NOISE = 0.15, 0.40, 0.25
+CLASS_LIMIT, WORD_LIMIT, NOISE = 0.11, 0.25, 0.5
 
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -82,21 +83,25 @@ def divergence_rules(
     def mean(c: str, n: int) -> Column:
         return F.array(*[F.coalesce(F.avg(F.get(c, F.lit(i))), F.lit(0.0)) for i in range(n)])
 
-    references = (
-        measured.filter("NOT base_failed")
-        .groupBy("lang")
-        .agg(F.count(F.lit(1)).alias("n"), mean("p", len(CLASSES)).alias("ref_p"), mean("w", N_COMMON + 1).alias("ref_w"))
-        .filter(F.col("n") >= min_docs)
-        .drop("n")
-    )
-    joined = measured.join(small(cut(references)), "lang", "left")
+    def against(chosen: DataFrame) -> DataFrame:
+        references = (
+            chosen.groupBy("lang")
+            .agg(F.count(F.lit(1)).alias("n"), mean("p", len(CLASSES)).alias("ref_p"), mean("w", N_COMMON + 1).alias("ref_w"))
+            .filter(F.col("n") >= min_docs)
+            .drop("n")
+        )
+        return (
+            measured.join(small(cut(references)), "lang", "left")
+            .withColumn("class_js", js_distance(F.col("p"), F.col("ref_p")))
+            .withColumn("word_js", js_distance(F.col("w"), F.col("ref_w")))
+        )
+
     slack = lambda bins, n: noise * F.sqrt(F.lit(float(bins)) / F.col(n))
-    joined = joined.withColumn("class_js", js_distance(F.col("p"), F.col("ref_p"))).withColumn(
-        "word_js", js_distance(F.col("w"), F.col("ref_w"))
-    )
     far = (F.col("class_js") > class_limit + slack(len(CLASSES), "word_chars")) | F.coalesce(
         F.col("word_js") > word_limit + slack(N_COMMON + 1, "n_words"), F.lit(False)
     )
+    near = ~F.coalesce(far, F.lit(True)) & ~F.col("base_failed")
+    joined = against(against(measured.filter("NOT base_failed")).filter(near))
     kept = ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))
     return joined.select("doc_id", *_COUNTS, "base_failed", "class_js", "word_js", kept.alias("kept"))
 
