@@ -7,6 +7,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Tag of each preference type, fixed values.
 TAGS = {"string": 1, "int": 2, "double": 3, "bool": 4, "stringList": 5, "bytes": 6}
@@ -39,7 +40,7 @@ def encode_int(c: Column) -> Column:
     return F.concat(_tag("int"), _little_endian(F.lpad(F.hex(c.cast("long")), 16, "0")))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_double(v: pd.Series) -> pd.Series:
     return v.map(lambda x: None if pd.isna(x) else bytes([TAGS["double"]]) + struct.pack("<d", x))
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedimenta.sources.folders import with_python
+
 MAX_DIM, MAX_K, MAX_ID_BYTES, EXACT_LIMIT = 65_536, 4_096, 128, 512
 TINY = 1.1754943508222875e-38  # least normal number of single precision
 
@@ -92,6 +94,7 @@ def knn_batch(df: DataFrame, queries: DataFrame, k: int, metric: Metric, id_col:
     Queries are stepped through in blocks of ``query_block`` held by each task, so memory is bounded by a block.
     """
     check_query([0.0], None, k)
+    with_python(df.sparkSession)
     out = None
     part: list = []
     for r in queries.select("query_id", "query").toLocalIterator():

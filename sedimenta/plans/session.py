@@ -184,6 +184,21 @@ class SqlSession:
         log.commit(version + 1, {**state, "columns": widened_columns, "parts": [*state["parts"], part], "next_row_id": first + len(rows)})
         return SqlResult(affected=len(rows))
 
+    def load(self, name: str, df: DataFrame) -> int:
+        """Append the rows of a frame with the table's columns as one part; ids follow the frame's order."""
+        log, version, state = self._state(name)
+        kinds = [plan.kind_of(df.schema[c].dataType) for c in df.columns]
+        if "other" in kinds or len(kinds) != len(state["columns"]):
+            raise SqlError("the frame's columns don't fit the table")
+        ids = (F.monotonically_increasing_id() + state["next_row_id"]).alias(ROW_ID)
+        typed = [F.col(f"`{c}`").cast(_TYPES.get(k, MIXED)).alias(d["name"]) for c, k, d in zip(df.columns, kinds, state["columns"])]
+        part = self._write(log, df.select(ids, *typed), kinds)
+        written = self.spark.read.schema(part_schema(part)).parquet(part["path"])
+        n, top = written.agg(F.count(F.lit(1)), F.max(ROW_ID)).first()
+        columns = [{**c, "kind": joined_kind({c["kind"], k} - {None})} for c, k in zip(state["columns"], kinds)]
+        log.commit(version + 1, {**state, "columns": columns, "parts": [*state["parts"], part], "next_row_id": (top or state["next_row_id"] - 1) + 1})
+        return n
+
     def _select(self, s: Select) -> SqlResult:
         out = plan.select(self.table(s.table), s)
         return SqlResult(columns=out.columns, df=out)
