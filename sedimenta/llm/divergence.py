@@ -2,7 +2,7 @@
 
 Each language has a reference: the mean histogram of character classes and of common words
 over all its documents that pass the base rules and are long enough. The mean is taken twice,
-the second time without the documents far from the first. A document is kept if the
+the second time over the half of the documents that is nearest to the first. A document is kept if the
 Jensen-Shannon distances of its own histograms to those of its language are within limits.
 Guards: a short text has a wider limit, as its histogram is noisy, and below a minimum of words
 none; a language with few documents has no reference and gives no verdict.
@@ -46,7 +46,8 @@ def js_distance(p: Column, q: Column) -> Column:
         one = lambda x: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
         return (one(a) + one(b)) / 2
 
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(p, q, part), F.lit(0.0), lambda s, x: s + x)))
+    total = F.aggregate(F.zip_with(p, q, part), F.lit(0.0), lambda s, x: s + x)
+    return F.when(total > 0, F.sqrt(total)).when(total <= 0, 0.0)
 
 
 def _share(c: str) -> Column:
@@ -100,8 +101,9 @@ def divergence_rules(
     far = (F.col("class_js") > class_limit + slack(len(CLASSES), "word_chars")) | F.coalesce(
         F.col("word_js") > word_limit + slack(N_COMMON + 1, "n_words"), F.lit(False)
     )
-    near = ~F.coalesce(far, F.lit(True)) & ~F.col("base_failed")
-    joined = against(against(measured.filter("NOT base_failed")).filter(near))
+    first = against(measured.filter("NOT base_failed")).filter("NOT base_failed")
+    middle = cut(first.groupBy("lang").agg(F.percentile_approx("class_js", 0.5, 1000).alias("middle")))
+    joined = against(first.join(small(middle), "lang").filter("class_js <= middle"))
     kept = ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))
     return joined.select("doc_id", *_COUNTS, "base_failed", "class_js", "word_js", kept.alias("kept"))
 

@@ -117,7 +117,7 @@ class Matcher:
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
         """(first line, line after the last, template, dice) of every candidate that matches.
 
-        A candidate inside a longer one that matches too is left out.
+        Of candidates that overlap the best stays, of equal ones the first, then the longest.
         """
         rows = [normalised(x) for x in text.split("\n")]
         # a line can match only if it has a word pair of a template; a block only if one of its lines or seams has
@@ -141,12 +141,11 @@ class Matcher:
                 continue
             if hit := self.best([w for r in rows[a:b] for w in r]):
                 found.append((a, b, *hit))
-        found.sort(key=lambda x: (x[0], -x[1]))
-        out, reach = [], -1
-        for f in found:
-            if f[1] > reach:
+        out: list[tuple[int, int, str, float]] = []
+        for f in sorted(found, key=lambda x: (-x[3], x[0], -x[1])):
+            if all(f[1] <= o[0] or o[1] <= f[0] for o in out):
                 out.append(f)
-                reach = f[1]
+        out.sort()
         return out
 
 

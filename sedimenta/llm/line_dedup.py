@@ -157,6 +157,8 @@ def dedup_lines(
 ) -> DataFrame:
     """``docs`` with the later copies of repeated line runs deleted from ``text_col``, and _n_lines, _n_deleted (long).
 
+    Columns of ``docs`` that have the names of the two counts give way to them.
+
     A run must hold ``min_words`` words. A null text stays null and has no lines; an empty one has one line.
     Rows that agree in id and text are one document: each gets the same result. A null id comes first.
     """
@@ -174,7 +176,7 @@ def dedup_lines(
     deleted = F.aggregate(cuts, F.lit(0), lambda a, x: a + x["e"] - x["s"])
     n_lines = F.when(F.col("_text").isNull(), 0).otherwise(F.length("_text") - F.length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1)
     return left.select(
-        *[text.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in names],
+        *[text.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in names if c not in ("_n_lines", "_n_deleted")],
         n_lines.cast("long").alias("_n_lines"),
         F.coalesce(deleted, F.lit(0)).cast("long").alias("_n_deleted"),
     )
