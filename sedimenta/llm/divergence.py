@@ -23,7 +23,7 @@ MIN_WORDS = 50
 #: Documents that a language's reference needs.
 MIN_DOCS = 20
 #: Limits on the two distances, and what is added for noise: NOISE * sqrt(bins / observations).
-CLASS_LIMIT, WORD_LIMIT, NOISE = 0.11, 0.25, 0.5
+CLASS_LIMIT, WORD_LIMIT, NOISE = 0.15, 0.33, 0.3
 
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
