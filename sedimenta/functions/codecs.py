@@ -87,7 +87,8 @@ def decode_int(value: Column) -> Column:
     pairs = F.regexp_extract_all(F.hex(_payload(value)), F.lit(".."), F.lit(0))
     big = F.array_join(F.reverse(pairs), "")
     unsigned = F.conv(big, 16, 10).cast("decimal(20,0)")
-    signed = F.when(unsigned >= F.lit(2**63).cast("decimal(20,0)"), unsigned - F.lit(2**64).cast("decimal(20,0)")).otherwise(unsigned)
+    wide = lambda n: F.lit(str(n)).cast("decimal(20,0)")
+    signed = F.when(unsigned >= wide(2**63), unsigned - wide(2**64)).otherwise(unsigned)
     return _expect(value, "int", signed.cast("long"))
 
 

@@ -38,7 +38,7 @@ def quantiles(samples: DataFrame, qs: list[float], value: str = "micros", *by: s
     asked = cum.withColumn("q", F.explode(F.array(*map(F.lit, qs))))
     rank = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("all") * F.col("q")))
     found = asked.filter(F.col("cum") >= rank).groupBy(*by, "q").agg(F.min("bucket").alias("bucket"))
-    upper = F.when(F.col("bucket") == BUCKETS - 1, F.lit(2**63 - 1)).otherwise(F.shiftleft(F.lit(1).cast("long"), F.col("bucket") + 1))
+    upper = F.when(F.col("bucket") == BUCKETS - 1, F.lit(2**63 - 1)).otherwise(F.pow(F.lit(2.0), F.col("bucket") + 1).cast("long"))
     joined = found.join(tops, list(by)) if by else found.crossJoin(F.broadcast(tops))  # one row
     return joined.select(*by, "q", F.least(upper, "top").alias("quantile"))
 

@@ -50,15 +50,24 @@ def resolve(df: DataFrame, name: str) -> str:
 
 
 def _numeric(op: str, c: Column, lit: Literal, exact: bool) -> Column:
-    """A comparison with a number: whole numbers exactly, else as doubles; NaN compares with nothing."""
+    """A comparison with a number: whole numbers exactly, else as doubles; NaN compares with nothing.
+
+    Spark takes NaN as the largest number, so only some comparisons need a guard.
+    """
     if exact and lit.kind == "int":
         return _OPS[op](c, F.lit(lit.value).cast("long"))
     d = c.cast("double")
-    return _OPS[op](d, F.lit(float(lit.value))) & ~F.isnan(d)
+    found = _OPS[op](d, F.lit(float(lit.value)))
+    return found & ~F.isnan(d) if op in ("<>", ">", ">=") else found
 
 
 def predicate(df: DataFrame, p: Predicate) -> Column:
     """Never null: a comparison that doesn't hold is false."""
+    return F.coalesce(comparison(df, p), F.lit(False))
+
+
+def comparison(df: DataFrame, p: Predicate) -> Column:
+    """True where the predicate holds, else false or null; in this form it reaches the scan."""
     name = resolve(df, p.column)
     c, kind, lit = F.col(f"`{name}`"), kind_of(df.schema[name].dataType), p.literal
     if lit.kind == "null":
@@ -79,13 +88,14 @@ def predicate(df: DataFrame, p: Predicate) -> Column:
         found = _OPS[p.op](c, F.lit(lit.value))
     else:
         return F.lit(False)
-    return F.coalesce(found, F.lit(False))
+    return found
 
 
-def condition(df: DataFrame, where: Filter | None) -> Column | None:
+def condition(df: DataFrame, where: Filter | None, total: bool = True) -> Column | None:
+    """The condition of a WHERE; ``total`` if it is negated or shown and so may not be null."""
     if where is None:
         return None
-    parts = [predicate(df, p) for p in where.parts]
+    parts = [(predicate if total else comparison)(df, p) for p in where.parts]
     return reduce(operator.and_ if where.joiner == "and" else operator.or_, parts)
 
 
@@ -102,7 +112,7 @@ def _keys(df: DataFrame, name: str, descending: bool) -> list[Column]:
 def select(df: DataFrame, s: Select) -> DataFrame:
     """The plan of a SELECT. With a row id, ties and an unordered LIMIT follow insertion order."""
     columns = [resolve(df, c) for c in s.columns] or [c for c in df.columns if c != ROW_ID]
-    where = condition(df, s.where)
+    where = condition(df, s.where, total=False)
     order = resolve(df, s.order_by) if s.order_by else None
     out = df if where is None else df.filter(where)
     ties = [F.col(ROW_ID).asc()] if ROW_ID in df.columns else []
