@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.common import cut, small, with_python
-from sedimenta.llm.textstats import CLASSES, N_COMMON, counts
+from sedimenta.llm.textstats import CLASSES, COMMON, N_COMMON, counts
 
 MIN_WORDS = 50
 #: Documents that a language's reference needs.
@@ -111,3 +111,53 @@ def divergence_rules(
 def op1_distribution_divergence(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     return divergence_rules(docs).select("doc_id", *_COUNTS, "base_failed", "kept")
+
+
+def _sql_js(p: str, q: str) -> str:
+    part = "CASE WHEN {x} > 0 THEN {x} * log2({x} / ((z[1] + z[2]) / 2)) ELSE 0 END"
+    both = f"({part.format(x='z[1]')} + {part.format(x='z[2]')}) / 2"
+    return f"sqrt(greatest(0.0, list_sum(list_transform(list_zip({p}, {q}), lambda z: {both}))))"
+
+
+def _sql_mean(name: str, source: str, where: str) -> str:
+    """References of a round: mean histograms by language."""
+
+    def one(c: str) -> str:
+        return f"""(SELECT lang, list(m ORDER BY i) AS ref_{c} FROM (SELECT lang, i, avg(v) AS m FROM (
+    SELECT lang, unnest({c}) AS v, unnest(range(len({c}))) AS i FROM {source} WHERE {where}) GROUP BY lang, i) GROUP BY lang)"""
+
+    return f"""{name} AS (SELECT n.lang, ref_p, ref_w FROM (SELECT lang FROM {source} WHERE {where} GROUP BY lang HAVING count(*) >= {MIN_DOCS}) n
+  LEFT JOIN {one('p')} USING (lang) LEFT JOIN {one('w')} USING (lang))"""
+
+
+_LISTS = " ".join(f"WHEN '{lang}' THEN [{', '.join(repr(w) for w in words)}]" for lang, words in COMMON.items())
+
+OP1_SQL = rf"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
+a AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+  [len(regexp_replace(t, '[^' || k || ']', '', 'g')) FOR k IN ['a-z', 'A-Z', '0-9', '\x20\x09-\x0D', '#*$%&|<>']] AS c5,
+  len(regexp_replace(t, '[\x00-\x7F]', '', 'g')) AS wide FROM t),
+tri AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w3) AS n FROM (
+  SELECT rid, i, [ws[i], ws[i + 1], ws[i + 2]] AS w3 FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM a))),
+rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM tri WHERE n > 1) GROUP BY rid),
+b AS (SELECT a.*, len(ws) AS n_words, len(t) - c5[4] AS word_chars, c5[5] AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+  coalesce(rep.n, 0) AS n_repeat_words, list_concat(c5, [len(t) - list_sum(c5) - wide, wide]) AS c, CASE lang {_LISTS} END AS common,
+  list_transform(list_filter(ws, lambda x: strlen(x) < 16), lambda x: translate(trim(x, '!"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS s FROM a LEFT JOIN rep USING (rid)),
+k AS (SELECT *, list_transform(common, lambda x: len(list_filter(s, lambda y: y = x))) AS cw,
+  n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
+m AS (SELECT *, CASE WHEN len(t) > 0 THEN list_transform(c, lambda x: x / len(t)::DOUBLE) END AS p,
+  CASE WHEN n_words > 0 AND common IS NOT NULL THEN
+    list_transform(list_append(cw, n_words - list_sum(cw)), lambda x: x / n_words::DOUBLE) END AS w FROM k),
+{_sql_mean('r1', 'm', 'NOT base_failed')},
+d1 AS (SELECT m.*, {_sql_js('p', 'ref_p')} AS js FROM m LEFT JOIN r1 USING (lang) WHERE NOT base_failed),
+near AS (SELECT d1.* FROM d1 JOIN (SELECT lang, quantile_disc(js, 0.5) AS middle FROM d1 GROUP BY lang) USING (lang) WHERE js <= middle),
+{_sql_mean('r2', 'near', 'TRUE')},
+d2 AS (SELECT m.*, {_sql_js('p', 'ref_p')} AS class_js, {_sql_js('w', 'ref_w')} AS word_js FROM m LEFT JOIN r2 USING (lang))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(class_js > {CLASS_LIMIT} + {NOISE} * sqrt({len(CLASSES)}.0 / word_chars), FALSE)
+    AND NOT coalesce(word_js > {WORD_LIMIT} + {NOISE} * sqrt({N_COMMON + 1}.0 / n_words), FALSE) AS kept
+FROM d2
+"""

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_distribution_divergence": divergence.OP1_SQL,
     "op2_winnowing_decontamination": decontam.OP2_SQL,
     "op4_secret_ownership": secrets.OP4_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
