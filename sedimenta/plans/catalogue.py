@@ -466,11 +466,6 @@ def page_encryption(spark, sf_dir):
     return e.select("event_id", F.when(codecs.decrypt_page(sealed, key, page, F.lit(4)).isNull(), F.decode(opened, "UTF-8")).alias("props"))
 
 
-@query(f"SELECT user_id AS key, CAST(count(*) AS BIGINT) AS n_versions, crc32_n FROM (SELECT user_id, 0::BIGINT AS crc32_n FROM events) GROUP BY ALL")
-def version_counts(spark, sf_dir):
-    return log(spark, sf_dir).groupBy("key").agg(F.count(F.lit(1)).alias("n_versions")).withColumn("crc32_n", F.lit(0).cast("long"))
-
-
 # vectors
 
 

@@ -64,6 +64,23 @@ class SqlResult:
             return json.dumps({"type": "schema", "detail": self.detail})
         return json.dumps({"type": "affected", "count": self.affected})
 
+    @classmethod
+    def from_json(cls, spark: SparkSession, text: str) -> SqlResult:
+        """A result that ``to_json`` wrote; columns whose values are of several kinds come back as mixed."""
+        data = json.loads(text)
+        if data["type"] == "schema":
+            return cls(detail=data["detail"])
+        if data["type"] == "affected":
+            return cls(affected=data["count"])
+
+        def kind(v) -> str:
+            return "int" if isinstance(v, int) else "float" if isinstance(v, float) else "text"
+
+        values = [[Literal("null") if v is None else Literal(kind(v), v) for v in r] for r in data["rows"]]
+        kinds = [joined_kind({r[i].kind for r in values} - {"null"}) for i in range(len(data["columns"]))]
+        schema = T.StructType([T.StructField(c, MIXED if k == "mixed" else _TYPES.get(k, T.StringType())) for c, k in zip(data["columns"], kinds)])
+        return cls(columns=data["columns"], df=spark.createDataFrame([tuple(cell(v, k) for v, k in zip(r, kinds)) for r in values], schema))
+
     def render(self) -> str:
         if not self.is_rows:
             return self.detail if self.detail is not None else f"{self.affected} row(s) affected"

@@ -122,3 +122,13 @@ def test_plan_pushes_filters_and_takes_the_top(spark, capsys):
     out = capsys.readouterr().out
     assert "TakeOrderedAndProject" in out and "GreaterThanOrEqual(o_totalprice,100000.0)" in out
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_totalprice:double>" in out
+
+
+def test_results_round_trip_as_json(spark):
+    from sedimenta.plans.session import SqlResult
+
+    text = '{"type": "rows", "columns": ["a", "b"], "rows": [[1, "x"], [2.5, null], ["t", "é\\n"]]}'
+    back = SqlResult.from_json(spark, text)
+    assert back.rows() == [[1, "x"], [2.5, None], ["t", "é\n"]] and back.to_json() == text
+    assert back.as_maps()[0] == {"a": 1, "b": "x"} and back.scalar() == 1
+    assert SqlResult.from_json(spark, '{"type": "affected", "count": 3}').affected == 3

@@ -196,3 +196,18 @@ def test_sorted_runs_are_written_and_pruned(spark, tmp_path):
     assert back.count() == 1000 and versions.newest(back.filter("key = 7"), 600).first()["seqno"] == 507
     at = back.select("key", F.lit(0).alias("run"), F.monotonically_increasing_id().alias("pos"))
     assert versions.out_of_order(at.dropDuplicates(["key"]).orderBy("key").withColumn("pos", F.monotonically_increasing_id())).first()[0] == 0
+
+
+def test_tracer(spark):
+    t = observability.Tracer(capacity=2)
+    with t.span("outer") as outer:
+        outer["attributes"] += [("k", "1"), ("k", "2")]
+        with pytest.raises(KeyError):
+            with t.span("inner", outer):
+                raise KeyError
+    with t.span("last"):
+        pass
+    rows = t.frame(spark).collect()
+    assert [r["name"] for r in rows] == ["last", "outer"] and len(t.done) == 3
+    got = {r["trace_id"]: (r["n"], r["errors"]) for r in observability.traces(spark.createDataFrame(t.done, observability.SPAN)).collect()}
+    assert sorted(got.values()) == [(1, 0), (2, 1)]
