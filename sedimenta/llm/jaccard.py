@@ -56,7 +56,7 @@ class WordHashes(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -198,13 +198,13 @@ def _verify(threshold: float):
             cols = list(zip(*out)) if out else [[], [], []]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["sid", "links", "root"])
 
-        for batch in batches:
-            for r in batch.to_pylist():
-                at = (r["home"], r["p"], r["q"])
-                if at != key:
-                    yield done()
-                    key, rows = at, []
-                rows.append(r)
+        # rows become Python objects a few at a time
+        for r in (r for batch in batches for i in range(0, len(batch), 500) for r in batch.slice(i, 500).to_pylist()):
+            at = (r["home"], r["p"], r["q"])
+            if at != key:
+                yield done()
+                key, rows = at, []
+            rows.append(r)
         yield done()
 
     return run
