@@ -113,12 +113,16 @@ def decontaminate(
         winnowed(items, span, k, short)
         # an item short of a window has only its whole gram as fingerprint
         .withColumn("_fps", F.when(F.col("_n") < span, F.slice("_fps", -1, 1)).otherwise(F.col("_fps")))
-        .select(F.least("_n", F.lit(span)).alias("m"), F.explode("_fps").alias("_v"))
+        # an outer explode: the other kind gives rise to a filter that Spark pushes below, where it
+        # writes the arrays' expressions into each other and evaluates them for every element
+        .select(F.least("_n", F.lit(span)).alias("m"), F.explode_outer("_fps").alias("_v"))
+        .filter("_v IS NOT NULL")
         .select(place.alias("f"), "m")
         .distinct()
     )
     item_windows = cut(
-        items.select("item", "_words", F.explode(_windows(F.size("_words"), span)).alias("x"))
+        items.select("item", "_words", F.explode_outer(_windows(F.size("_words"), span)).alias("x"))
+        .filter("x IS NOT NULL")
         .select("item", _window_text(F.col("_words"), F.col("x.s"), F.col("x.m")).alias("wt"))
         .distinct()
     )
@@ -162,12 +166,12 @@ def decontaminate(
     windows = found.select("_id", "_th", "_words", tried.alias("tried")).select(
         "_id",
         "_th",
-        F.explode(
+        F.explode_outer(
             F.transform("tried", lambda x: F.struct(x["s"], x["m"], _window_text(F.col("_words"), x["s"], x["m"]).alias("wt")))
         ).alias("x"),
     )
     texts = item_windows.select("wt").distinct()
-    true_hits = cut(windows.select("_id", "_th", "x.s", "x.m", "x.wt").join(texts, "wt").distinct())
+    true_hits = cut(windows.filter("x IS NOT NULL").select("_id", "_th", "x.s", "x.m", "x.wt").join(texts, "wt").distinct())
     spans = true_hits.groupBy("_id", "_th").agg(F.array_sort(F.collect_set(F.struct("s", "m"))).alias("hits"))
     named = (
         true_hits.select("_id", "_th", "wt")
