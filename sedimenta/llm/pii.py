@@ -1,13 +1,15 @@
 """PII by patterns and information-theoretic sanitisation.
 
 Base patterns mark e-mail addresses, IP addresses, card and phone numbers. Each value found is a
-protected entity. Words in a window around it are terms that may reveal it: over the corpus, the
-pointwise mutual information of a term and an entity, log p(t, e) / (p(t) p(e)), is compared with
-the entity's own information, -log p(e). A term that carries more than a share ``alpha`` of it,
-in ``min_docs`` documents or more, discloses the entity and is generalised where it stands by it.
-
-Frequencies are counted over all documents: p(t) by a pass that sums words within each batch
-before the counts meet, p(e) and p(t, e) from the windows, which are few.
+protected entity. Words of a document that holds it are terms that may reveal it: over the corpus,
+the pointwise mutual information of a term and an entity, log p(e | t) / p(e), is compared with
+the entity's own information, -log p(e). A term that carries more than a share ``alpha`` of it
+discloses the entity and is generalised wherever it stands in a document that holds the entity.
+
+Frequencies are counted over all documents, whole documents each. As most entities lie in one or
+two of them, p(e | t) is shrunk towards p(e) by ``prior`` documents: (n_te + prior p(e)) / (n_t + prior).
+p(t) takes a pass that sums words within each batch before the counts meet, p(e) and p(t, e) the
+documents with entities, which are few.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from pyspark.sql import functions as F
 from sedimenta.llm.common import cut, key_join, keyed, sha256_text, small, with_python
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-#: Words on either side of an entity that count as its context.
-WINDOW = 8
-#: Share of an entity's information that a term may carry, and documents that must show it.
-ALPHA, MIN_DOCS = 0.8, 3
+#: Share of an entity's information that a term may carry, and documents that its estimate is shrunk by.
+ALPHA, PRIOR = 0.8, 1.0
+#: Most frequent terms that every executor gets, to leave out pairs early; the result doesn't depend on it.
+COMMON_TERMS = 50_000
 
 # what a pattern can begin with is bounded, so that long runs of digits or letters take linear time
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -82,41 +84,26 @@ def _value(kind: int, found: str) -> str:
     return f"{KINDS[kind]}:" + (found.lower() if kind < 2 else "".join(c for c in found if c.isdigit()))
 
 
-_LOOK = 400
-
-
-def context(text: str, spans: list[tuple[int, int, int]], window: int) -> Iterator[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words around each entity that aren't part of one."""
-    taken = sorted((a, b) for _, a, b in spans)
-    for kind, a, b in spans:
-        before = [m for m in _WORD.finditer(text, max(0, a - _LOOK), a)][-window:]
-        after = []
-        for m in _WORD.finditer(text, b):
-            after.append(m)
-            if len(after) == window:
-                break
-        for m in [*before, *after]:
-            if not any(x < m.end() and m.start() < y for x, y in taken):
-                yield _value(kind, text[a:b]), m[0].lower(), m.start(), m.end()
+def words(text: str) -> set[str]:
+    return {w.lower() for w in set(_WORD.findall(text))}
 
 
-def _scan(window: int):
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Base spans; of documents with any, the text, its entities and its words as well."""
     span = pa.struct([("kind", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
-    near = pa.struct([("entity", pa.string()), ("term", pa.string()), ("s", pa.int32()), ("e", pa.int32())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            base, terms = [], []
-            for text in batch.column("_text").to_pylist():
-                spans = base_spans(text or "")
-                base.append([dict(zip(("kind", "s", "e"), x)) for x in spans])
-                terms.append([dict(zip(("entity", "term", "s", "e"), x)) for x in context(text, spans, window)] if spans else [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), batch.column("_th"), pa.array(base, pa.list_(span)), pa.array(terms, pa.list_(near))],
-                ["_id", "_th", "base", "near"],
-            )
-
-    return run
+    for batch in batches:
+        base, kept, entities, terms = [], [], [], []
+        for text in batch.column("_text").to_pylist():
+            spans = base_spans(text or "")
+            base.append([dict(zip(("kind", "s", "e"), x)) for x in spans])
+            kept.append(text if spans else None)
+            entities.append(list({_value(k, text[a:b]) for k, a, b in spans}))
+            terms.append(list(words(text)) if spans else [])
+        strings = pa.list_(pa.string())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("_id"), batch.column("_th"), pa.array(kept, pa.string()), pa.array(base, pa.list_(span)), pa.array(entities, strings), pa.array(terms, strings)],
+            ["_id", "_th", "_text", "base", "entities", "terms"],
+        )
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,47 +112,60 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter = Counter()
         for text in batch.column("_text").to_pylist():
             if text:
-                count.update(set(_WORD.findall(text.lower())))
+                count.update(words(text))
         yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "df"])
 
 
-def sanitise_scan(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, alpha: float = ALPHA, min_docs: int = MIN_DOCS
-) -> DataFrame:
-    """One row per row of ``docs``: _id, _th, _text, base and spans (arrays of (kind, s, e), kind 4 for terms).
+def term_spans(text: str, base: list[tuple[int, int]], told: set[str]) -> list[tuple[int, int]]:
+    """(start, end) of the words in ``told`` that touch no base span."""
+    covered = bytearray(len(text))
+    for a, b in base:
+        covered[a:b] = b"\1" * (b - a)
+    return [m.span() for m in _WORD.finditer(text) if m[0].lower() in told and not any(covered[m.start() : m.end()])]
 
-    A null text is empty. Rows that agree in id and text count once for p(e) and p(t, e); an empty table has no rows.
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Base spans with those of the disclosing terms."""
+    span = pa.struct([("kind", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
+    for batch in batches:
+        out = []
+        for text, base, told in zip(*(batch.column(c).to_pylist() for c in ("_text", "base", "told"))):
+            found = term_spans(text, [(x["s"], x["e"]) for x in base], set(told)) if told else []
+            every = {(x["kind"], x["s"], x["e"]) for x in base} | {(4, s, e) for s, e in found}
+            out.append([dict(zip(("kind", "s", "e"), x)) for x in sorted(every)])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_th", "base")), pa.array(out, pa.list_(span))], ["_id", "_th", "base", "spans"])
+
+
+def sanitise_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
+    """One row per row of ``docs``: _id, _th, base and spans (arrays of (kind, s, e), kind 4 for terms).
+
+    A null text is empty. A document listed more than once counts as often in every frequency. An entity that
+    all documents hold has no information to disclose; an empty table has no rows.
     """
     with_python(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     source = keyed(docs, id_col, text_col)
-    schema = (
-        f"_id {id_type}, _th bigint, base array<struct<kind:int,s:int,e:int>>, "
-        "near array<struct<entity:string,term:string,s:int,e:int>>"
-    )
-    scanned = cut(source.mapInArrow(_scan(window), schema))
-    near = scanned.select("_id", "_th", F.explode("near").alias("x")).select("_id", "_th", "x.*")
-    pairs = near.select("_id", "_th", "entity", "term").distinct()
-    entity = near.select("_id", "_th", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    both = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= min_docs)
-    both = cut(both.join(entity, "entity"))
-    n = scanned.count()
-    wanted = cut(both.select("term").distinct())
-    df = (
-        source.select("_text").mapInArrow(_frequencies, "term string, df bigint")
-        .join(small(wanted, bound=50_000), "term", "left_semi")
-        .groupBy("term")
-        .agg(F.sum("df").alias("n_t"))
-    )
-    joint = F.log(F.col("n_te") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e")))
-    own = F.log(F.lit(float(n)) / F.col("n_e"))
-    told = both.join(df, "term").filter(joint >= alpha * own).select("entity", "term")
-    terms = near.join(told, ["entity", "term"]).select("_id", "_th", F.lit(4).alias("kind"), "s", "e")
-    terms = terms.groupBy("_id", "_th").agg(F.collect_set(F.struct("kind", "s", "e")).alias("terms"))
-    none = F.array().cast("array<struct<kind:int,s:int,e:int>>")
-    return key_join(scanned.drop("near"), terms, "left").select(
-        "_id", "_th", "base", F.array_sort(F.concat("base", F.coalesce("terms", none))).alias("spans")
-    )
+    spans = "array<struct<kind:int,s:int,e:int>>"
+    scanned = cut(source.mapInArrow(_scan, f"_id {id_type}, _th bigint, _text string, base {spans}, entities array<string>, terms array<string>"))
+    n = float(scanned.count())
+    p = F.col("n_e") / F.lit(n)
+
+    def tells(n_te: Column) -> Column:
+        return (F.col("n_e") < n) & (F.log((n_te + prior * p) / (F.col("n_t") + prior) / p) >= -alpha * F.log(p))
+
+    held = scanned.filter(F.size("base") > 0).select("_id", "_th", F.explode("entities").alias("entity"), "terms")
+    entity = small(cut(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))))
+    df = cut(source.select("_text").mapInArrow(_frequencies, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("n_t")))
+    # a pair with a common term is left out early if it would fail at the largest count it can have
+    common = F.broadcast(df.orderBy(F.desc("n_t"), "term").limit(COMMON_TERMS).withColumnRenamed("n_t", "n_c"))
+    pairs = held.join(entity, "entity").select("_id", "_th", "entity", "n_e", F.explode("terms").alias("term")).join(common, "term", "left")
+    pairs = pairs.withColumn("n_t", F.col("n_c")).filter(F.col("n_c").isNull() | tells(F.least("n_e", "n_c"))).select("_id", "_th", "entity", "n_e", "term")
+    both = pairs.groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_te"))
+    told = cut(both.join(df, "term").filter(tells(F.col("n_te"))).select("entity", "term"))
+    terms = pairs.join(told, ["entity", "term"], "left_semi")
+    terms = terms.groupBy("_id", "_th").agg(F.collect_set("term").alias("told"))
+    placed = key_join(scanned.select("_id", "_th", "_text", "base"), terms, "left")
+    return placed.mapInArrow(_place, f"_id {id_type}, _th bigint, base {spans}, spans {spans}")
 
 
 def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,10 @@
 """Decontamination, line dedup, secrets, personal data and licences against brute force."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -189,6 +191,41 @@ def test_terms_that_disclose_an_entity_are_generalised(spark):
     assert pii.sanitise_scan(d.limit(0)).count() == 0
 
 
+def test_terms_far_from_an_entity_of_one_document_are_generalised(spark):
+    rng = random.Random(4)
+    filler = lambda n: " ".join(rng.choice(["apple", "river", "stone", "cloud", "green", "house"]) for _ in range(n))
+    docs = [(i, filler(60)) for i in range(300)]
+    docs += [(500, f"Zoltan {filler(200)} x.y@mail.example.com {filler(200)} zoltan"), (501, f"{filler(40)} pq@mail.example.com and 1.2.3.4 {filler(90)} Pelikan")]
+    docs += [(502, f"pelikan {filler(40)} 1.2.3.4"), (503, f"{filler(20)} walter"), (504, f"walter {filler(20)} rs@mail.example.com")]
+    docs += [(600 + i, f"walter {filler(9)}") for i in range(40)] + [(700, None), (504, "")]
+    text = dict(docs[:-1])
+    every = [pii.words(t or "") for _, t in docs]
+    held = [{pii._value(k, t[a:b]) for k, a, b in pii.base_spans(t or "")} for _, t in docs]
+    n_e, n_t, n_te = Counter(e for h in held for e in h), Counter(w for s in every for w in s), Counter((e, w) for h, s in zip(held, every) for e in h for w in s)
+    told = set()
+    for (e, w), k in n_te.items():
+        p = n_e[e] / len(docs)
+        if math.log((k + p * pii.PRIOR) / (n_t[w] + pii.PRIOR) / p) >= -pii.ALPHA * math.log(p):
+            told.add((e, w))
+    rows = pii.sanitise_scan(spark.createDataFrame(docs, DOCS)).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        t = (text[r["_id"]] or "") if r["base"] else ""
+        spans = pii.base_spans(t)
+        mine = {w for k, a, b in spans for e, w in told if e == pii._value(k, t[a:b])}
+        expected = sorted(m.span() for m in re.finditer(r"[^\W\d_]{2,}", t) if m[0].lower() in mine and not any(a < m.end() and m.start() < b for _, a, b in spans))
+        assert [(x["s"], x["e"]) for x in r["spans"] if x["kind"] == 4] == expected
+    found = {r["_id"]: [text[r["_id"]][x["s"] : x["e"]] for x in r["spans"] if x["kind"] == 4] for r in rows if r["base"]}
+    assert found == {500: ["Zoltan", "zoltan"], 501: ["and", "Pelikan"], 502: ["pelikan"], 504: []}
+
+
+def test_terms_arise_on_the_real_table(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    row = pii.sanitise_scan(d).select(F.size(F.filter("spans", lambda x: x["kind"] == 4)).alias("n"), F.size("base").alias("base")).agg(
+        F.sum("n").alias("terms"), F.sum(F.when(F.col("base") == 0, F.col("n"))).alias("clean")).first()
+    assert row["terms"] > 0 and row["clean"] == 0
+
+
 def test_license_templates_match_themselves_and_bounds_lose_nothing(spark):
     m = license_scan.Matcher(license_scan.TEMPLATES, 0.8)
     rng = random.Random(3)
