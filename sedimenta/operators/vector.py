@@ -7,7 +7,7 @@ its k best per query, so what meets is k rows per query and batch, not a row per
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from enum import IntEnum
 
 import numpy as np
@@ -88,11 +88,17 @@ def knn(df: DataFrame, query: list[float], k: int, metric: Metric, id_col: str =
     return ranked.select(id_col, d.alias("distance"), score(metric, d).alias("score"))
 
 
-def knn_batch(df: DataFrame, queries: DataFrame, k: int, metric: Metric, id_col: str = "vec_id", vector: str = "embedding", query_block: int = 1_000) -> DataFrame:
+def knn_batch(df: DataFrame, queries: DataFrame, k: int, metric: Metric, id_col: str = "vec_id", vector: str = "embedding", query_block: int = 1_000, probed: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(query_id, id, distance, score, rank) of every query of (query_id, query).
 
     Queries are stepped through in blocks of ``query_block`` held by each task, so memory is bounded by a block.
+    ``probed`` gives the lists that each query of a block looks into, over the column ``list``; without it all are.
     """
+
+    def block(part: list, so_far: DataFrame | None) -> DataFrame:
+        wanted = None if probed is None else probed(np.array([r["query"] for r in part], dtype=np.float64).reshape(len(part), -1))
+        return _block(df, part, k, metric, id_col, vector, so_far, wanted)
+
     check_query([0.0], None, k)
     with_python(df.sparkSession)
     out = None
@@ -100,17 +106,18 @@ def knn_batch(df: DataFrame, queries: DataFrame, k: int, metric: Metric, id_col:
     for r in queries.select("query_id", "query").toLocalIterator():
         part.append(r)
         if len(part) == query_block:
-            out = _block(df, part, k, metric, id_col, vector, out)
+            out = block(part, out)
             part = []
     if part or out is None:
-        out = _block(df, part, k, metric, id_col, vector, out)
+        out = block(part, out)
     place = Window.partitionBy("query_id").orderBy("o", id_col)
     d = finalize(metric, F.col("o"))
     ranked = out.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
     return ranked.select("query_id", id_col, d.alias("distance"), score(metric, d).alias("score"), "rank")
 
 
-def _block(df: DataFrame, rows: list, k: int, metric: Metric, id_col: str, vector: str, so_far: DataFrame | None) -> DataFrame:
+def _block(df: DataFrame, rows: list, k: int, metric: Metric, id_col: str, vector: str, so_far: DataFrame | None, probed: np.ndarray | None = None) -> DataFrame:
+    """Pairs that may be among the k best; with ``probed`` (query, list) only where a query probes a vector's list."""
     ids = [r["query_id"] for r in rows]
     q = np.array([r["query"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
     q_norm = np.sqrt((q * q).sum(axis=1))
@@ -130,9 +137,11 @@ def _block(df: DataFrame, rows: list, k: int, metric: Metric, id_col: str, vecto
             else:
                 n = q_norm[:, None] * np.sqrt((x * x).sum(1))[None, :]
                 o = np.where(n <= TINY, 1.0, 1 - np.clip(both / np.where(n <= TINY, 1.0, n), -1, 1))
+            if probed is not None:
+                o = np.where(probed[:, batch.column("l").to_numpy()], o, np.inf)
             # ties at the edge of the k best all go on, so that ids decide
             edge = np.partition(o, min(k, o.shape[1]) - 1, axis=1)[:, min(k, o.shape[1]) - 1]
-            qi, xi = np.nonzero(o <= edge[:, None] + 1e-9)
+            qi, xi = np.nonzero((o <= edge[:, None] + 1e-9) & (o < np.inf))
             # the exact order is by sums from left to right, as the one-query form has them
             a, b = q[qi], x[xi]
             if metric == Metric.L2:
@@ -143,7 +152,8 @@ def _block(df: DataFrame, rows: list, k: int, metric: Metric, id_col: str, vecto
                 exact = o[qi, xi]
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in qi], pa.int64()), names.take(pa.array(xi)), pa.array(exact)], ["query_id", id_col, "o"])
 
-    found = df.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).mapInArrow(run, f"query_id bigint, {id_col} {kind}, o double")
+    lists = [] if probed is None else [F.col("list").alias("l")]
+    found = df.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), *lists).mapInArrow(run, f"query_id bigint, {id_col} {kind}, o double")
     return found if so_far is None else so_far.unionByName(found)
 
 
@@ -198,6 +208,39 @@ class IvfIndex:
         near = [int(i) for i in np.argsort(d, kind="stable")[:probes]]
         return knn(self.lists.filter(F.col("list").isin(near)), query, k, metric, self.id_col, self.vector)
 
+    def ranks(self, queries: np.ndarray) -> np.ndarray:
+        """(query, list): place of the list by the distance of its centroid, from 0."""
+        d = ((queries[:, None, :] - self.centroids[None, :, :]) ** 2).sum(axis=2)
+        return np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1, kind="stable")
+
+    def search_batch(self, queries: DataFrame, k: int, metric: Metric, probes: int, query_block: int = 1_000) -> DataFrame:
+        """``knn_batch`` over the ``probes`` nearest lists of each query."""
+        return knn_batch(self.lists, queries, k, metric, self.id_col, self.vector, query_block, lambda q: self.ranks(q) < probes)
+
+    def probes_for(self, queries: DataFrame, k: int, metric: Metric, target: float = 0.95, sample: int = 200) -> int:
+        """Least number of lists whose measured recall reaches ``target``, over ``sample`` queries (least hashes of ids).
+
+        The exact neighbours of those queries are sought, and the places of the lists that hold them counted.
+        """
+        some = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(sample)
+        rows = some.collect()
+        if not rows:
+            return len(self.centroids)
+        asked = {r["query_id"]: i for i, r in enumerate(rows)}
+        places = self.ranks(np.array([r["query"] for r in rows], dtype=np.float64))
+        best = knn_batch(self.lists, some, k, metric, self.id_col, self.vector).select("query_id", self.id_col)
+        exact = self.lists.select(self.id_col, "list").join(F.broadcast(best), self.id_col).collect()
+        at = np.bincount([places[asked[r["query_id"]], r["list"]] for r in exact], minlength=len(self.centroids))
+        reached = np.cumsum(at) >= target * max(1, at.sum())
+        return int(np.argmax(reached)) + 1 if reached.any() else len(self.centroids)
+
+
+def search_batch(df: DataFrame, queries: DataFrame, k: int, metric: Metric, index: IvfIndex | None = None, probes: int = 8, rows: int | None = None, **names) -> DataFrame:
+    """``search`` for every query of (query_id, query)."""
+    if index is None or (rows is not None and rows <= EXACT_LIMIT):
+        return knn_batch(df, queries, k, metric, **names)
+    return index.search_batch(queries, k, metric, probes)
+
 
 def search(df: DataFrame, query: list[float], k: int, metric: Metric, index: IvfIndex | None = None, probes: int = 8, rows: int | None = None, **names) -> DataFrame:
     """Exact up to ``EXACT_LIMIT`` vectors or without an index, else by the index."""

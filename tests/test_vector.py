@@ -60,6 +60,30 @@ def test_inverted_lists_reach_the_recall(spark):
     assert hits / 100 >= 0.9
 
 
+def test_batches_by_lists_reach_the_measured_recall(spark):
+    df = spark.createDataFrame(cloud(1500, 32, 5), VEC).cache()
+    queries = df.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    index = vector.IvfIndex.build(df, 16)
+    exact = vector.knn_batch(df, queries, 10, Metric.L2)
+    probes = index.probes_for(queries, 10, Metric.L2)
+    some = vector.recall(index.search_batch(queries, 10, Metric.L2, probes, query_block=20), exact, 10).first()
+    assert 1 <= probes <= 16 and some["n"] == 750 and some["recall"] >= 0.95
+    assert probes == 1 or vector.recall(index.search_batch(queries, 10, Metric.L2, probes - 1), exact, 10).first()["recall"] < 0.95
+    assert vector.recall(index.search_batch(queries, 10, Metric.L2, 16), exact, 10).first()["recall"] == 1.0
+    one = [r["vec_id"] for r in index.search_batch(queries.filter("query_id = 40"), 10, Metric.L2, 3).orderBy("rank").collect()]
+    q = queries.filter("query_id = 40").first()["query"]
+    assert one == [r["vec_id"] for r in index.search(q, 10, Metric.L2, 3).collect()]
+    assert vector.search_batch(df, queries, 10, Metric.L2, index, 1, rows=512).count() == 750
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_over_embeddings(spark, sf):
+    from sedimenta.plans.catalogue import QUERIES
+
+    row = QUERIES["knn_recall"](spark, f"/root/testdata/{sf}").first()
+    assert row["n"] == (250 if sf == "sf0.01" else 1000) and row["recall"] >= (1.0 if sf == "sf0.01" else 0.9)
+
+
 def test_validation(spark):
     rows = [("a", [1.0, 2.0]), ("", [1.0, 2.0]), ("é" * 65, [1.0, 2.0]), ("b", [1.0]), ("c", [1.0, math.nan]), ("d", [1.0, math.inf]), ("e", None), (None, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "id string, embedding array<float>")
