@@ -1,14 +1,18 @@
 """License scan: normalised text against licence templates by Dice coefficient over word bigrams.
 
-Each line of a text, each block of lines between blank ones and the whole text are candidates. A
+Runs of words are candidates wherever they stand, across lines and within them, up to (2 - t) / t times
+the words of a template; so are each line, each block of lines between blank ones and the whole text. A
 candidate with a bigrams and a template with b can reach the threshold t only if b lies between
-a * t / (2 - t) and a * (2 - t) / t, which leaves few templates for most candidates and none for
-most texts; what is left must also share a bigram with the template before it is compared.
+a * t / (2 - t) and a * (2 - t) / t, and only if they share b * t / (2 - t) bigrams. A run loses nothing
+if it begins and ends with a bigram of the template, so only such runs are tried, and only where enough
+of the template's bigrams lie near one another, which is nowhere in most texts.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,6 +43,18 @@ TEMPLATES = {
         'Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
         "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
     ),
+    "MIT-full": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
+        "to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
+        "copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+        'Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
+        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
+        "SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+        "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN "
+        "THE SOFTWARE."
+    ),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
@@ -89,6 +105,9 @@ class Matcher:
         for k, grams in self.templates.items():
             for g in grams:
                 self.index.setdefault(g, []).append(k)
+        #: Words of the longest run that is tried, and shared bigrams that a match needs.
+        self.reach = {k: int(len(normalised(v)) * (2 - threshold) / threshold) for k, v in templates.items()}
+        self.need = {k: math.ceil(len(g) * threshold / (2 - threshold) - 1e-9) for k, g in self.templates.items()}
         self.words = {w for g in self.index for w in g}
         sizes = [len(g) for g in self.templates.values() if g]
         self.least = min(sizes) * threshold / (2 - threshold)
@@ -114,10 +133,42 @@ class Matcher:
             return k, -d
         return None
 
+    def runs(self, words: list[str]) -> Iterator[tuple[int, int, str, float]]:
+        """(first word, word after the last, template, dice) of the best runs by first word; of equal ones the longest."""
+        grams = list(zip(words, words[1:]))
+        places: dict[str, list[int]] = {}
+        for i, g in enumerate(grams):
+            if g in self.index:
+                for k in self.index[g]:
+                    places.setdefault(k, []).append(i)
+        for k, at in places.items():
+            template, need, reach = self.templates[k], self.need[k], self.reach[k]
+            if len(at) < need:
+                continue
+            b, most = len(template), len(template) * (2 - self.t) / self.t
+            for x, i in enumerate(at):
+                last = min(i + reach - 1, len(grams))  # a run of so many words has one bigram less
+                if bisect_left(at, last, x) - x < need:
+                    continue
+                seen: set = set()
+                shared, best, end = 0, 0.0, 0
+                for j in range(i, last):
+                    g = grams[j]
+                    hit = g in template
+                    if g not in seen:
+                        seen.add(g)
+                        shared += hit
+                        if len(seen) > most:
+                            break
+                    if hit and shared >= need and (d := 2 * shared / (len(seen) + b)) >= max(best, self.t):
+                        best, end = d, j + 2
+                if end:
+                    yield i, end, k, best
+
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
         """(first line, line after the last, template, dice) of every candidate that matches.
 
-        Of candidates that overlap the best stays, of equal ones the first, then the longest.
+        Of candidates with words in common the best stays, of equal ones the first, then the longest.
         """
         rows = [normalised(x) for x in text.split("\n")]
         # a line can match only if it has a word pair of a template; a block only if one of its lines or seams has
@@ -133,20 +184,25 @@ class Matcher:
                 spans.add((start, i))
                 start = None
         spans.add((0, len(rows)))
-        found = []
+        words = [w for r in rows for w in r]
+        line = [i for i, r in enumerate(rows) for _ in r]
+        first = [0]
+        for r in rows:
+            first.append(first[-1] + len(r))
+        found = list(self.runs(words))
         for a, b in spans:
-            n = sum(len(rows[i]) for i in range(a, b))
             # distinct bigrams may be fewer than words, so only the lower bound prunes here
-            if n - 1 < self.least or not any(marked[a:b]):
+            if first[b] - first[a] - 1 < self.least or not any(marked[a:b]):
                 continue
-            if hit := self.best([w for r in rows[a:b] for w in r]):
-                found.append((a, b, *hit))
+            if hit := self.best(words[first[a] : first[b]]):
+                found.append((first[a], first[b], *hit))
         out: list[tuple[int, int, str, float]] = []
-        for f in sorted(found, key=lambda x: (-x[3], x[0], -x[1])):
-            if all(f[1] <= o[0] or o[1] <= f[0] for o in out):
+        taken = bytearray(len(words))
+        for f in sorted(found, key=lambda x: (-x[3], x[0], -x[1], x[2])):
+            if not any(taken[f[0] : f[1]]):
+                taken[f[0] : f[1]] = b"\1" * (f[1] - f[0])
                 out.append(f)
-        out.sort()
-        return out
+        return [(line[a], line[b - 1] + 1, k, d) for a, b, k, d in sorted(out)]
 
 
 _matchers: dict[tuple, Matcher] = {}

@@ -245,6 +245,43 @@ def test_license_templates_match_themselves_and_bounds_lose_nothing(spark):
     assert license_scan.scan_licenses(d.limit(0)).count() == 0
 
 
+def test_license_runs_are_found_wherever_they_stand():
+    m = license_scan.Matcher(license_scan.TEMPLATES, 0.8)
+
+    def found(text):
+        return [(a, b, k) for a, b, k, _ in m.scan(text)]
+
+    assert found("Some prose before it. Released under the MIT License. And some prose after it in the same line.") == [(0, 1, "MIT")]
+    assert found("Released under the MIT License. Then prose. Licensed under CC BY 4.0.") == [(0, 1, "MIT"), (0, 1, "CC-BY-4.0")]
+    gpl = license_scan.TEMPLATES["GPL-3.0-notice"].replace("GNU General ", "GNU General\n// ").replace("either ", "either\n// ")
+    code = "\n".join(f"int value{i} = compute(value{i});" for i in range(30))
+    assert found(f"{code}\n// {gpl}\n{code}") == [(30, 33, "GPL-3.0-notice")]
+    full = license_scan.TEMPLATES["MIT-full"]
+    a, b = full.index("The above"), full.index("THE SOFTWARE IS")
+    head = f"/* Copyright (c) 1999 The Long Name of Some Company and all its many contributors\n\n{full[:a]}\n\n{full[a:b]}\n\n{full[b:]}\n*/\n"
+    assert found(head + code) == [(2, 7, "MIT-full")]
+
+
+def test_license_runs_equal_all_windows():
+    few = {k: license_scan.TEMPLATES[k] for k in ("MIT", "GPL-3.0", "CC-BY-4.0", "Unlicense")}
+    m = license_scan.Matcher(few, 0.8)
+    rng = random.Random(8)
+    every = [w for t in few.values() for w in license_scan.normalised(t)] + ["other", "words"]
+    for _ in range(150):
+        words = []
+        while len(words) < 40:
+            t = license_scan.normalised(rng.choice(list(few.values())))
+            words += [rng.choice(every) if rng.random() < 0.06 else w for w in t] + rng.choices(every, k=rng.randint(0, 6))
+        for k, t in m.templates.items():
+            dice = {(i, j): license_scan.dice(license_scan.bigrams(words[i:j]), t) for i in range(len(words)) for j in range(i + 2, min(i + m.reach[k], len(words)) + 1)}
+            best = max(dice.values())
+            got = [r for r in m.runs(words) if r[2] == k]
+            assert all(d == dice[i, j] for i, j, _, d in got)
+            assert max((r[3] for r in got), default=0.0) == (best if best >= 0.8 else 0.0)
+            # every window at the threshold meets a run that is found
+            assert all(any(i < y and x < j for x, y, _, _ in got) for (i, j), d in dice.items() if d >= 0.8)
+
+
 def test_digests_of_the_query(spark):
     d = spark.createDataFrame([("x",)], "a string").select(F.sha2(F.lit("").cast("binary"), 256).alias("s")).first()["s"]
     assert d == hashlib.sha256(b"").hexdigest()
