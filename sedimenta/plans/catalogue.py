@@ -89,6 +89,13 @@ for name, tables, statement, sql in [
     ("sql_order_nulls_last", {"keyed": lambda s, d: graded(s, d).select("lang", (F.col("doc_id") * F.when(F.col("quality").isNotNull(), 1)).alias("k"))},
      "SELECT k FROM keyed ORDER BY k DESC LIMIT 500",
      f"SELECT CASE WHEN quality IS NOT NULL THEN doc_id END AS k FROM {GRADED} ORDER BY k DESC NULLS LAST LIMIT 500"),
+    # whole tables, as a limit hides what stands last
+    ("sql_order_asc_all", "customer", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_custkey ASC", None),
+    ("sql_order_desc_all", "customer", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey DESC", None),
+    ("sql_order_unprojected_all", "events", "SELECT user_id FROM events ORDER BY event_id DESC", None),
+    ("sql_order_nulls_last_all", {"keyed": lambda s, d: graded(s, d).select("lang", (F.col("doc_id") * F.when(F.col("quality").isNotNull(), 1)).alias("k"))},
+     "SELECT k FROM keyed ORDER BY k DESC",
+     f"SELECT CASE WHEN quality IS NOT NULL THEN doc_id END AS k FROM {GRADED} ORDER BY k DESC NULLS LAST"),
 ]:
     dialect(name, tables, statement, sql or statement)
 
