@@ -1,12 +1,15 @@
 """Byte-pair encoding and decoding by tree concatenation.
 
-A long text is cut into leaves, which are encoded on their own, in parallel: the leaves of a
-batch together, those of a very long text in different tasks. Two neighbours are then joined:
-the text around the join is encoded again, over a window of a few tokens on either side, and
-the window doubles until its first tokens are the left side's and its last the right side's at
-the same places. From there on neither side can change: the split into words looks at most
-ahead, and a sequence of tokens is the encoding if each pair of neighbours is one. A window
-that never agrees ends as the encoding of both sides together, which is exact by definition.
+A text beyond a leaf's length is cut into leaves, which are encoded on their own in different tasks. Two
+neighbours are then joined: the text around the join is encoded again, over a window of a few tokens on
+either side, and the window doubles until its first tokens are the left side's and its last the right
+side's at the same places. From there on neither side can change: the split into words looks at most
+ahead, and a sequence of tokens is the encoding if each pair of neighbours is one. A window that never
+agrees ends as the encoding of both sides together, which is exact by definition. Joins go up the tree
+in tasks of ``FAN`` neighbours each; the last one has the whole text's tokens, as its row does.
+
+Most texts hold only characters that every version of Unicode classes alike. Their words are split here and
+encoded by the tokenizer once each, as it encodes words one by one; other texts go to it whole.
 
 The tokenizer is read from a file whose path is a parameter; nothing is trained.
 """
@@ -15,23 +18,34 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import os
+import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import cut, with_python
+from sedimenta.llm.common import with_python
 
 LEAF_CHARS = 16_384
-#: Texts beyond this are encoded leaf by leaf in different tasks.
-LONG_CHARS = 2_000_000
+#: Neighbours that one task joins.
+FAN = 16
 #: Tokens on either side of a join to begin with, and tokens that must agree.
 FIRST_WINDOW, AGREE = 16, 4
-#: Characters that are encoded in one call.
-CALL_CHARS = 400_000
+#: Characters that are encoded in one call, and words that a worker remembers.
+CALL_CHARS, WORDS = 400_000, 300_000
+
+#: Characters whose class is beyond doubt: letters, digits, spaces and signs of ASCII, Latin letters, dashes and quotes.
+_LETTER, _SPACE = "A-Za-zÀ-ÖØ-öø-ſ", "\\t\\n\\r\\x20"
+_SIGN = "!-/:-@\\[-`{-~–—‘’“”…"
+_PLAIN = re.compile(f"[{_LETTER}0-9{_SPACE}{_SIGN}]*")
+#: The split into words that byte-level tokenizers make, over those characters.
+_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[{_SIGN}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
 class TreeEncoder:
@@ -52,11 +66,58 @@ class TreeEncoder:
         for token, i in vocab.items():
             # a byte-level token has one character for each byte
             self.width[i] = len(token.encode()) if i in added else len(token)
+        self.by_word = self._by_word(path)
+        self.ids_of: dict[str, list[int]] = {}
+        self.text_of: dict[str, str] = {}
+        self.bytes_of = self._bytes(vocab) if self.by_word else {}
+
+    def _by_word(self, path: str) -> bool:
+        """Whether the tokenizer splits as ``_SPLIT`` does and encodes each word by itself."""
+        with open(path) as f:
+            made = json.load(f)
+        split, model = made["pre_tokenizer"] or {}, made["model"]
+        return (
+            split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+            and (made["decoder"] or {}).get("type") == "ByteLevel" and made["normalizer"] is None and made["post_processor"] is None
+            and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        )
+
+    @staticmethod
+    def _bytes(vocab: dict[str, int]) -> dict[int, bytes]:
+        """Bytes of each token: printable characters stand for themselves, the other bytes for those from 256 on."""
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = [b for b in range(256) if b not in set(shown)]
+        of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+        return {i: bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for t, i in vocab.items()}
+
+    def words(self, text: str) -> list[str] | None:
+        """The words of a text that may be encoded one by one, else None."""
+        if not self.by_word or not _PLAIN.fullmatch(text) or any(s in text for s in self.specials):
+            return None
+        return _SPLIT.findall(text)
+
+    def learn(self, words: list[list[str]]) -> None:
+        """Encode the words that aren't known yet, in one call."""
+        if len(self.ids_of) > WORDS:
+            for w in list(islice(self.ids_of, WORDS // 2, None)):  # those met first are the frequent ones
+                del self.ids_of[w], self.text_of[w]
+        new = list(set().union(*words).difference(self.ids_of))
+        for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
+            self.ids_of[w] = e.ids
+            self.text_of[w] = ",".join(map(str, e.ids))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        split = [self.words(t) for t in texts]
+        self.learn([w for w in split if w])
+        other = iter(self.tok.encode_batch_fast([t for t, w in zip(texts, split) if w is None], add_special_tokens=False))
+        return [next(other).ids if w is None else list(chain.from_iterable(map(self.ids_of.__getitem__, w))) for w in split]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
+        if self.by_word:
+            try:
+                return [b"".join(map(self.bytes_of.__getitem__, x)).decode() for x in ids]
+            except (KeyError, UnicodeDecodeError):  # parts of characters, or ids beyond the vocabulary
+                pass
         return self.tok.decode_batch(ids, skip_special_tokens=False)
 
     def cuts(self, text: str) -> list[int]:
@@ -100,29 +161,41 @@ class TreeEncoder:
                     return np.concatenate([left[: len(left) - jl], window, right[jr:]])
             j *= 2
 
-    def tree(self, data: bytes, parts: list[tuple[int, np.ndarray]]) -> np.ndarray:
-        """Join leaves, each with the byte where it begins, two by two up to the whole."""
+    def tree(self, texts: list[str], ids: list[np.ndarray]) -> np.ndarray:
+        """Join neighbours, of which texts and encodings are given, two by two up to the whole."""
+        data = [t.encode() for t in texts]
+        begins = np.cumsum([0, *map(len, data)]).tolist()
+        whole, parts = b"".join(data), list(zip(begins, ids))
         while len(parts) > 1:
-            up = [(a, self.join(data, m, x, y)) for (a, x), (m, y) in zip(parts[::2], parts[1::2])]
+            up = [(a, self.join(whole, m, x, y)) for (a, x), (m, y) in zip(parts[::2], parts[1::2])]
             parts = up + ([parts[-1]] if len(parts) % 2 else [])
         return parts[0][1] if parts else np.zeros(0, dtype=np.int64)
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """Encodings of the texts, with the leaves of all of them in one call."""
+        """Encodings of texts of any length, with the leaves of all of them in one call."""
         split = [self.leaves(t) for t in texts]
         flat = iter(self.encode([leaf for leaves in split for leaf in leaves]))
-        out = []
-        for text, leaves in zip(texts, split):
-            ids = [next(flat) for _ in leaves]
-            if len(ids) == 1:
-                out.append(ids[0])
-                continue
-            at, parts = 0, []
-            for leaf, x in zip(leaves, ids):
-                parts.append((at, np.array(x, dtype=np.int64)))
-                at += len(leaf.encode())
-            out.append(self.tree(text.encode(), parts).tolist())
-        return out
+        return [self.tree(leaves, [np.array(next(flat), dtype=np.int64) for _ in leaves]).tolist() for leaves in split]
+
+    def digests(self, texts: list[str], keep_ids: bool, keep_text: bool) -> dict[str, list]:
+        """Results of texts up to a leaf each."""
+        split = [self.words(t) for t in texts]
+        self.learn([w for w in split if w])
+        ids = self.encode([t for t, w in zip(texts, split) if w is None]) if None in split else []
+        rest = iter(ids)
+        every = [next(rest) if w is None else list(chain.from_iterable(map(self.ids_of.__getitem__, w))) for w in split]
+        joined = [None if w is None else ",".join(map(self.text_of.__getitem__, w)) for w in split]
+        return self.results(every, joined, keep_ids, keep_text)
+
+    def results(self, ids: list[list[int]], joined: list[str | None], keep_ids: bool, keep_text: bool) -> dict[str, list]:
+        texts = self.decode(ids)
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        out: dict[str, list] = {
+            "n_tokens": [len(x) for x in ids],
+            "ids_sha256": [sha(str(x)[1:-1].replace(" ", "") if s is None else s) for x, s in zip(ids, joined)],
+            "decoded_sha256": [sha(t) for t in texts],
+        }
+        return out | ({"ids": ids} if keep_ids else {}) | ({"decoded": texts} if keep_text else {})
 
 
 _encoders: dict[tuple[str, int], TreeEncoder] = {}
@@ -149,21 +222,6 @@ def _calls(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-def _digests(enc: TreeEncoder, ids: list[list[int]], keep_ids: bool, keep_text: bool) -> dict[str, list]:
-    texts = enc.decode(ids)
-    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    out: dict[str, list] = {
-        "n_tokens": [len(x) for x in ids],
-        "ids_sha256": [sha(str(x)[1:-1].replace(" ", "")) for x in ids],
-        "decoded_sha256": [sha(t) for t in texts],
-    }
-    if keep_ids:
-        out["ids"] = ids
-    if keep_text:
-        out["decoded"] = texts
-    return out
-
-
 _ARROW = {
     "n_tokens": pa.int64(),
     "ids_sha256": pa.string(),
@@ -181,12 +239,14 @@ def encode_documents(
     keep_ids: bool = True,
     keep_text: bool = False,
     leaf_chars: int = LEAF_CHARS,
-    long_chars: int = LONG_CHARS,
+    fan: int = FAN,
 ) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids][, decoded]): one row per row of ``docs``.
 
-    A null text is empty and has no tokens. Repeated rows are encoded one by one; nothing is grouped by id
-    except the leaves of one row.
+    A null text is empty and has no tokens; an empty table has no rows. Repeated rows are encoded one by one.
+    Texts up to a leaf are encoded where they are read; the leaves of the others are dealt out, one by one,
+    in a scan of its own, so that short texts are neither shuffled nor written. Columns of ``docs`` other than
+    the two named aren't read, so their names don't matter.
     """
     with_python(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -202,48 +262,56 @@ def encode_documents(
         for batch in batches:
             at = 0
             for part in _calls(batch.column("text").to_pylist()):
-                made = _digests(enc, enc.encode_all(part), keep_ids, keep_text)
-                yield batch_of(batch.column("doc_id").slice(at, len(part)), made)
+                yield batch_of(batch.column("doc_id").slice(at, len(part)), enc.digests(part, keep_ids, keep_text))
                 at += len(part)
 
-    short = rows.filter(F.length("text") <= long_chars).mapInArrow(whole, schema)
-    long = cut(rows.filter(F.length("text") > long_chars).withColumn("rid", F.monotonically_increasing_id()))
-    if long.isEmpty():
+    size = F.length("text")
+    short = rows.filter(size <= leaf_chars).mapInArrow(whole, schema)
+    longest = rows.agg(F.max(size)).first()[0] or 0
+    if longest <= leaf_chars:
         return short
 
+    # a row's key doesn't depend on its place: rows that agree in all of it are the same text
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, leaf_chars)
+        enc, seen = encoder(path, leaf_chars), Counter()
         for batch in batches:
-            for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist()):
-                at = 0
-                for leaf in enc.leaves(text):
-                    yield pa.RecordBatch.from_arrays([pa.array([rid]), pa.array([at]), pa.array([leaf])], ["rid", "at", "leaf"])
-                    at += len(leaf.encode())
+            for i, (th, text) in enumerate(zip(batch.column("th").to_pylist(), batch.column("text").to_pylist())):
+                key = (batch.column("doc_id")[i].as_py(), th)
+                seen[key] += 1
+                for node, leaf in enumerate(enc.leaves(text)):
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(c).slice(i, 1) for c in ("doc_id", "th", "part")), pa.array([seen[key]], pa.int64()), pa.array([node], pa.int32()), pa.array([leaf])],
+                        ["doc_id", "th", "part", "nth", "node", "text"],
+                    )
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, leaf_chars)
         for batch in batches:
-            ids = [x for part in _calls(batch.column("leaf").to_pylist()) for x in enc.encode(part)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("rid"), batch.column("at"), pa.array(ids, pa.list_(pa.int32()))], ["rid", "at", "ids"]
-            )
-
-    def grow(_, left, right):
-        import pandas as pd
+            ids = [x for part in _calls(batch.column("text").to_pylist()) for x in enc.encode(part)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, "ids"])
+
+    def up(pdf):
+        """Neighbours to one node."""
+        own = pdf.sort_values("node")
+        ids = encoder(path, leaf_chars).tree(own["text"].tolist(), [np.asarray(x, dtype=np.int64) for x in own["ids"]])
+        out = own.iloc[:1].copy()
+        out["node"] //= fan
+        out["text"], out["ids"] = ["".join(own["text"])], [ids.astype(np.int32)]
+        return out
 
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, leaf_chars)
-        out = []
-        for rid, text, key in zip(right["rid"], right["text"], right["doc_id"]):
-            own = left[left["rid"] == rid].sort_values("at")
-            parts = [(int(a), np.asarray(x, dtype=np.int64)) for a, x in zip(own["at"], own["ids"])]
-            made = _digests(enc, [enc.tree(text.encode(), parts).tolist()], keep_ids, keep_text)
-            out.append(pd.DataFrame({"doc_id": [key], **made}))
-        return pd.concat(out)
-
-    cut_up = long.select("rid", "text").mapInArrow(pieces, "rid bigint, at bigint, leaf string")
-    encoded = cut_up.repartition("rid", "at").mapInArrow(leaves, "rid bigint, at bigint, ids array<int>")
-    joined = encoded.groupBy("rid").cogroup(long.groupBy("rid")).applyInPandas(lambda k, a, b: grow(k, a, b), schema)
-    return short.unionByName(joined)
+        for batch in batches:
+            for i in range(len(batch)):  # one text at a time
+                yield batch_of(batch.column("doc_id").slice(i, 1), enc.results([batch.column("ids")[i].as_py()], [None], keep_ids, keep_text))
+
+    key = ["doc_id", "th", "part", "nth"]
+    node = f"doc_id {id_type}, th bigint, part int, nth bigint, node int, text string"
+    long = rows.filter(size > leaf_chars).withColumn("th", F.xxhash64("text")).withColumn("part", F.spark_partition_id())
+    nodes = long.mapInArrow(pieces, node).repartition(*key, "node").mapInArrow(leaves, f"{node}, ids array<int>")
+    for _ in range(max(1, math.ceil(math.log(math.ceil(longest / leaf_chars) + 1, fan)))):
+        nodes = nodes.groupBy(*key, F.floor(F.col("node") / fan).alias("up")).applyInPandas(up, f"{node}, ids array<int>")
+    return short.unionByName(nodes.select("doc_id", "ids").mapInArrow(top, schema))
 
 
 def default_tokenizer() -> str:

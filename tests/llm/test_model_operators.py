@@ -1,5 +1,6 @@
 """Divergence, quality, encoding, near duplicates, sharding and the pipeline."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -113,15 +114,40 @@ def test_tree_equals_direct_encoding(parts, leaf):
     assert ENC.decode([ids])[0] == text
 
 
-def test_encoding_query_paths_agree(spark):
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aZé ß'st\n\t\r .,!—“”…09-_~×÷ªº²½\xa0\x1c\x85ſƀ日🙂́|<>endoftext"), max_size=60))
+def test_words_one_by_one_equal_the_library(text):
+    """Over the characters around the edges of what is split here."""
+    ids = ENC.encode([text])[0]
+    assert ids == ENC.tok.encode(text, add_special_tokens=False).ids
+    assert ENC.decode([ids]) == [ENC.tok.decode(ids, skip_special_tokens=False)]
+
+
+def test_words_that_are_forgotten_are_learned_again(monkeypatch):
+    monkeypatch.setattr(bpe, "WORDS", 10)
+    enc, rng = bpe.TreeEncoder(bpe.default_tokenizer()), random.Random(2)
+    for _ in range(20):
+        texts = [prose(rng, "de", 30), "日本", ""]
+        assert enc.encode(texts) == [e.ids for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+    assert enc.decode([[50256, 220]]) == enc.tok.decode_batch([[50256, 220]], skip_special_tokens=False)
+    assert enc.decode([[162]]) == enc.tok.decode_batch([[162]], skip_special_tokens=False)  # part of a character
+
+
+@pytest.mark.parametrize("fan", [2, 16])
+def test_encoding_equals_the_library_row_by_row(spark, fan):
     rng = random.Random(6)
     docs = [(i, prose(rng, "en", rng.randint(0, 400))) for i in range(20)] + [(50, None), (51, ""), (52, "x" * 50_000), (53, "ab " * 30_000), (0, "same id")]
-    d = spark.createDataFrame(docs, DOCS).withColumn("ids", F.lit(1)).withColumn("rid", F.lit(2))
-    tok = ENC.tok
-    for long_chars in (2_000_000, 1_000):
-        got = bpe.encode_documents(d, bpe.default_tokenizer(), leaf_chars=700, long_chars=long_chars, keep_text=True).collect()
-        want = sorted((i, tok.encode(t or "", add_special_tokens=False).ids, t or "") for i, t in docs)
-        assert sorted((r["doc_id"], r["ids"], r["decoded"]) for r in got) == want
+    docs += [(None, "null id"), (None, prose(rng, "de", 900)), (54, "é日" * 9_000 + "<|endoftext|>" * 300)] + [docs[53 - 50 + 20]] * 3
+    d = spark.createDataFrame(docs, DOCS).withColumn("ids", F.lit(1)).withColumn("node", F.lit(2)).repartition(3)
+    got = bpe.encode_documents(d, bpe.default_tokenizer(), leaf_chars=700, fan=fan, keep_text=True).collect()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = []
+    for i, t in docs:
+        ids = ENC.tok.encode(t or "", add_special_tokens=False).ids
+        text = ENC.tok.decode(ids, skip_special_tokens=False)
+        want.append((i, len(ids), ids, text, sha(",".join(map(str, ids))), sha(text)))
+    rows = [(r["doc_id"], r["n_tokens"], r["ids"], r["decoded"], r["ids_sha256"], r["decoded_sha256"]) for r in got]
+    assert sorted(rows, key=str) == sorted(want, key=str)
     assert bpe.encode_documents(d.limit(0), bpe.default_tokenizer()).count() == 0
 
 
