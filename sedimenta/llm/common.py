@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,10 +38,45 @@ def with_python(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
+#: Folders that ``cut`` and ``written`` have made, for each ``scratch`` that is open.
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving what ``cut`` and ``written`` made inside; results must have been written by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for folder in _scratch.pop():
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and go on from there."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if _scratch:
+        folder = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if folder.isDefined():
+            _scratch[-1].append(folder.get())
+    return out
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it again.
+
+    A checkpoint keeps its partitioning, and a join by the same key then takes the rows as they lie. A table brings
+    none: the join deals both sides out anew, and a hot key on the other side can be split at run time.
+    """
+    folder = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    if _scratch:
+        _scratch[-1].append(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def small(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_ROWS) -> DataFrame:

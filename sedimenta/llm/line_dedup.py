@@ -1,30 +1,45 @@
 """Line dedup over a suffix array of line ids, built by distributed prefix doubling.
 
-A text is a sequence of lines; its suffixes are the positions of its lines. Level 0 ranks
-positions by line; level k + 1 sorts the pairs (rank of the first 2^k lines, rank of the next
-2^k lines), so a rank orders the suffixes by their first 2^(k+1) lines. Sorting is by range
-partitions over the *distinct* pairs that occur twice or more: a line that fills a third of
-the corpus is one key there, and a position whose pair occurs once leaves the doubling.
-
-A run counts if it has at least ``min_words`` words. For each position the shortest such run
-is known from its own lines; the suffixes that agree on it form one interval of the suffix
-array with that common prefix, found from two overlapping ranks of the highest level that
-fits. The first suffix of an interval (by id, then position) stays. Each other one is a later
-copy, and its longest common prefix with the first is deleted. A deleted line thus always has
-an equal line at an earlier place, and the earliest of equal lines is never deleted.
+A text is a sequence of lines; lines without a word are no part of it. Its suffixes are the positions of its
+lines. Level 0 ranks positions by line; level k + 1 sorts the pairs (rank of the first 2^k lines, rank of the
+next 2^k lines), so a rank orders the suffixes by their first 2^(k+1) lines. Sorting is by range partitions
+over the *distinct* pairs that occur twice or more: a line that fills a third of the corpus is one key
+there, and a position whose pair occurs once leaves the doubling.
+
+A run counts if it has at least ``min_words`` words; it is a later copy if an equal run stands at an earlier place
+(by id, then position), and a line goes if it lies in a later copy. The longest later copy from each position need
+not be known for that: it is covered by its *shortest* runs, those that lose a word too many with either their first
+or their last line (proof: from a line on, or up to it, or on both sides of it, a shortest run of the copy contains it,
+and a part of a later copy is a later copy, of the same earlier one). There are at most two of them a line, of
+``min_words`` lines at most, as each line has a word. The suffixes that agree on a shortest run form one interval of
+the suffix array with that common prefix, which two overlapping ranks of the highest level that fits name. The
+first suffix of an interval stays; the runs of the others go, joined to the maximal repeated runs that they cover.
+A deleted line thus always has an equal line at an earlier place, and the earliest of equal lines is never deleted.
 
 Only DataFrame functions are used. Ranks are written to the checkpoint folder level by level.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import cut
+from sedimenta.llm.common import cut, small, written
 
 KEY = ["_id", "_th"]
 
+#: White space, and scripts that are written without it, of which each character counts as a word.
+_BLANK = r"\x09-\x0D\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_DENSE = (
+    r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}"
+    r"\x{F900}-\x{FAFF}\x{20000}-\x{323AF}"
+)
+WORD = rf"[{_DENSE}]|[^\x20{_BLANK}{_DENSE}]+"
+#: What the plain count of single spaces would get wrong.
+_ODD = rf"\x20\x20|[{_BLANK}{_DENSE}]"
+
 
 def _plain_key(docs: DataFrame, id_col: str, text_col: str, *extra: Column) -> DataFrame:
     """Row keys without nulls: a null id becomes its type's zero and marks the hash instead."""
@@ -39,9 +54,10 @@ def _plain_key(docs: DataFrame, id_col: str, text_col: str, *extra: Column) -> D
 
 
 def _weight(line: Column) -> Column:
-    """Words of a line: runs between single spaces of the trimmed line; 0 for a blank one."""
+    """Words of a line: runs without white space, and single characters of scripts without spaces."""
     t = F.trim(line)
-    return F.when(F.length(t) == 0, 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1)
+    spaces = F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "), F.lit("")))
+    return F.when(line.rlike(_ODD), F.regexp_count(line, F.lit(WORD))).when(F.octet_length(t) == 0, 0).otherwise(spaces + 1)
 
 
 def _ranked(keys: DataFrame, *cols: str) -> DataFrame:
@@ -51,101 +67,82 @@ def _ranked(keys: DataFrame, *cols: str) -> DataFrame:
     )
 
 
-def _at(level: DataFrame, name: str) -> DataFrame:
-    return level.select(F.col("_id").alias("_id_x"), F.col("_th").alias("_th_x"), F.col("i").alias("i_x"), F.col("r").alias(name))
-
-
-def _look(df: DataFrame, level: DataFrame, name: str, shift: Column, key=("_id", "_th"), at: str = "i", how: str = "inner"):
-    """Add the rank at position ``at + shift`` of the document ``key``."""
-    other = _at(level, name)
-    on = (F.col(key[0]) == F.col("_id_x")) & (F.col(key[1]) == F.col("_th_x")) & ((F.col(at) + shift) == F.col("i_x"))
-    return df.join(other, on, how).drop("_id_x", "_th_x", "i_x")
+def _twice(rows: DataFrame, *cols: str) -> DataFrame:
+    return rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(*cols)
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(_id, _th, i, h1, h2, need): one row per line; ``need`` lines from i hold ``min_words`` words, or null."""
-    arrays = _plain_key(docs, id_col, text_col).select(
-        *KEY,
-        F.transform(
-            F.split("_text", "\n"),
-            lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2"), _weight(x).alias("w")),
-        ).alias("lines"),
-    )
-    arrays = arrays.groupBy(*KEY).agg(F.first("lines").alias("lines"))
-    rows = arrays.select(*KEY, F.size("lines").alias("n"), F.posexplode("lines").alias("i", "x")).select(
-        *KEY, "n", "i", "x.h1", "x.h2", F.col("x.w").cast("long").alias("w")
+    """(_id, _th, i, h1, h2, need, most, multi): one row per line with a word.
+
+    The shortest runs from line i have ``need`` to ``most`` lines; null if what follows has too few words.
+    ``multi`` is set where the line can lie in a run of several lines.
+    """
+    lines = F.transform(
+        F.split("_text", "\n"),
+        lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2"), F.least(_weight(x), F.lit(min_words)).alias("w")),
     )
-    whole = Window.partitionBy(*KEY)
-    rows = rows.withColumn("before", F.sum("w").over(whole.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) - F.col("w"))
-    ahead = F.min("i").over(whole.orderBy("before").rangeBetween(min_words, Window.unboundedFollowing))
-    rows = rows.withColumn("ahead", ahead).withColumn("total", F.sum("w").over(whole))
-    need = F.coalesce("ahead", F.when(F.col("total") - F.col("before") >= min_words, F.col("n"))) - F.col("i")
-    return rows.select(*KEY, "i", "h1", "h2", need.cast("int").alias("need"))
+    rows = _plain_key(docs, id_col, text_col).select(*KEY, F.filter(lines, lambda x: x["w"] > 0).alias("ls"))
+    rows = rows.withColumn("ws", F.transform("ls", lambda x: x["w"]))
+
+    def need(w: Column, i: Column) -> Column:
+        """Lines from i that hold enough words; each has one, so no more than ``min_words`` are looked at."""
+        walk = F.aggregate(
+            F.slice("ws", i + 1, min_words),
+            F.struct(F.lit(0).alias("s"), F.lit(0).alias("n")),
+            lambda a, x: F.when(a["s"] >= min_words, a).otherwise(F.struct((a["s"] + x).alias("s"), (a["n"] + 1).alias("n"))),
+        )
+        return F.when(w >= min_words, 1).otherwise(F.transform(F.array(walk), lambda a: F.when(a["s"] >= min_words, a["n"]))[0])
 
+    rows = rows.withColumn("needs", F.transform("ws", need))
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:
-    """(_id, _th, s, e): merged half-open intervals of lines to delete from a document."""
-    rows = cut(lines_of(docs, id_col, text_col, min_words))
-    twice = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h1", "h2")
-    base = cut(rows.join(_ranked(twice, "h1", "h2"), ["h1", "h2"]).select(*KEY, "i", "need", "r"))
-    longest = base.agg(F.max("need")).first()[0] or 0
-
-    level, groups, k = base, [], 0
-    while True:
-        size = 1 << k
-        here = base.filter((F.col("need") >= size) & (F.col("need") < 2 * size))
-        if k == 0:
-            own = here.select(*KEY, "i", "need", F.col("r").alias("a"), F.col("r").alias("b"))
-        else:
-            own = _look(_look(here.drop("r"), level, "a", F.lit(0)), level, "b", F.col("need") - size)
-        groups.append(own.withColumn("k", F.lit(k)))
-        if longest < 2 * size:
-            break
-        pairs = _look(level.select(*KEY, "i", F.col("r").alias("a")), level, "b", F.lit(size))
-        pairs = cut(pairs.select(*KEY, "i", "a", "b"))
-        twice = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a", "b")
-        level = cut(pairs.join(_ranked(twice, "a", "b"), ["a", "b"]).select(*KEY, "i", "r"))
-        if level.isEmpty():
-            break
-        k += 1
-
-    members = groups[0]
-    for g in groups[1:]:
-        members = members.unionByName(g)
-    interval = ["k", "need", "a", "b"]
-    place = F.struct("_id", "_th", "i")
-    firsts = members.groupBy(*interval).agg(F.min(place).alias("f"))
-    later = cut(
-        members.join(firsts, interval)
-        .filter(place != F.col("f"))
-        .select(*KEY, "i", "need", F.col("f._id").alias("f_id"), F.col("f._th").alias("f_th"), F.col("f.i").alias("f_i"))
-    )
+    def packed(x: Column, i: Column) -> Column:
+        own = F.get("needs", i)
+        light = F.least(x["w"], F.get("ws", i - 1), F.get("ws", i + 1)) < min_words
+        return F.struct(
+            i.alias("i"), x["h1"], x["h2"], own.alias("need"),
+            F.when(own.isNotNull(), F.greatest(own, F.coalesce(F.get("needs", i + 1), F.size("ws") - i))).alias("most"), light.alias("multi"),
+        )
 
-    # along a diagonal the common prefix shrinks by one line a step, so only its last member is measured
-    after = later.select(*KEY, (F.col("i") - 1).alias("i"), "f_id", "f_th", (F.col("f_i") - 1).alias("f_i"))
-    ends = later.join(after, [*KEY, "i", "f_id", "f_th", "f_i"], "left_anti").withColumn("known", F.col("need"))
-    runs = later.select(*KEY, F.col("i").alias("s"), (F.col("i") + F.col("need")).alias("e"))
-    step = 4
-    ends = cut(ends)
-    while not ends.isEmpty():
-        probes = ends.withColumn("t", F.explode(F.sequence(F.col("known"), F.col("known") + step - 1)))
-        probes = _look(probes, base, "ra", F.col("t"), how="left")
-        probes = _look(probes, base, "rb", F.col("t"), key=("f_id", "f_th"), at="f_i", how="left")
-        differs = F.col("ra").isNull() | F.col("rb").isNull() | (F.col("ra") != F.col("rb"))
-        met = cut(
-            probes.groupBy(*KEY, "i", "f_id", "f_th", "f_i", "known").agg(F.min(F.when(differs, F.col("t"))).alias("stop"))
-        )
-        done = met.filter(F.col("stop") > F.col("known"))
-        runs = runs.unionByName(done.select(*KEY, F.col("i").alias("s"), (F.col("i") + F.col("stop")).alias("e")))
-        ends = met.filter(F.col("stop").isNull()).drop("stop").withColumn("known", F.col("known") + step)
-        step *= 8
+    # outer, as the other kind makes Spark filter on the arrays below, where it evaluates them once more
+    return rows.select(*KEY, F.inline_outer(F.transform("ls", packed))).filter("i IS NOT NULL")
 
-    by_doc = Window.partitionBy(*KEY).orderBy("s", "e")
-    reach = F.max("e").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:
+    """(_id, _th, s, e): merged half-open intervals to delete, in lines that have a word."""
+    rows = cut(lines_of(docs, id_col, text_col, min_words))
+    base = rows.join(small(_ranked(_twice(rows, "h1", "h2"), "h1", "h2")), ["h1", "h2"]).select(*KEY, "i", "need", "most", "multi", "r")
+    base = cut(base.dropDuplicates([*KEY, "i"]))  # a document may be listed more than once
+    longest = base.agg(F.max("most")).first()[0] or 0
+
+    # intervals of runs of one line, then level by level those of 2^k to 2^(k+1) - 1
+    runs = [base.filter("need = 1").select(*KEY, F.col("i").alias("s"), F.lit(1).alias("m"), F.col("r").alias("a"), F.col("r").alias("b"))]
+    level, size = base.filter("multi"), 1
+    by_doc = Window.partitionBy(*KEY).orderBy("i")
+    while longest >= 2 * size:
+        pairs = level.withColumn("b", F.first("r").over(by_doc.rangeBetween(size, size))).withColumnRenamed("r", "a").filter("b IS NOT NULL")
+        pairs = cut(pairs)
+        ranks = small(_ranked(_twice(pairs, "a", "b"), "a", "b"))
+        level = pairs.join(ranks, ["a", "b"]).drop("a", "b")
+        size *= 2
+        near = F.collect_list(F.struct("i", "r")).over(by_doc.rangeBetween(0, min(longest, 2 * size - 1) - size))
+        level = cut(level.withColumn("near", near))
+        lengths = F.sequence(F.greatest("need", F.lit(size)), F.least("most", F.lit(2 * size - 1)))
+        found = level.filter((F.col("most") >= size) & (F.col("need") < 2 * size)).withColumn("m", F.explode(lengths))
+        end = F.get(F.filter("near", lambda x: x["i"] == F.col("i") + F.col("m") - size), F.lit(0))
+        runs.append(found.select(*KEY, F.col("i").alias("s"), "m", F.col("r").alias("a"), end["r"].alias("b")).filter("b IS NOT NULL"))
+        level = level.drop("near")
+
+    members = reduce(DataFrame.unionByName, runs)
+    interval, place = ["m", "a", "b"], F.struct(*KEY, "s")
+    firsts = members.groupBy(*interval).agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    later = members.join(small(written(firsts)), interval).filter(place != F.col("f")).select(*KEY, "s", (F.col("s") + F.col("m")).alias("e"))
+
+    in_doc = Window.partitionBy(*KEY).orderBy("s", "e")
+    reach = F.max("e").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(F.col("s") <= reach, 0).otherwise(1)
     return (
-        runs.withColumn("fresh", fresh)
-        .withColumn("island", F.sum("fresh").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
+        later.withColumn("fresh", fresh)
+        .withColumn("island", F.sum("fresh").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy(*KEY, "island")
         .agg(F.min("s").alias("s"), F.max("e").alias("e"))
         .drop("island")
@@ -157,24 +154,30 @@ def dedup_lines(
 ) -> DataFrame:
     """``docs`` with the later copies of repeated line runs deleted from ``text_col``, and _n_lines, _n_deleted (long).
 
-    Columns of ``docs`` that have the names of the two counts give way to them.
+    Columns of ``docs`` that have the names of the two counts give way to them; other names may clash freely.
 
-    A run must hold ``min_words`` words. A null text stays null and has no lines; an empty one has one line.
+    A run must hold ``min_words`` words. Lines without a word are no part of a run: they go where the next lines
+    with a word on both sides go. A null text stays null and has no lines; an empty one has one line. An empty table has no rows.
     Rows that agree in id and text are one document: each gets the same result. A null id comes first.
     """
     names = docs.columns
-    gone = cut(repeated_runs(docs, id_col, text_col, min_words).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_gone")))
+    gone = written(repeated_runs(docs, id_col, text_col, min_words).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_gone")))
     n_gone = gone.agg(F.coalesce(F.sum(F.size("_gone")), F.lit(0))).first()[0]
     gone = F.broadcast(gone) if n_gone <= broadcast_rows else gone.hint("shuffle_hash")
     whole = _plain_key(docs, id_col, text_col, F.struct(*[F.col(c) for c in names]).alias("_row"))
-    lines, cuts = F.split("_text", "\n"), F.col("_gone")
+    left = whole.join(gone, KEY, "left").withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split("_text", "\n")))
+    # from lines with a word to all lines
+    spoken = F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(rf"[^\x20{_BLANK}]"), i)), lambda i: i.isNotNull())
+    left = left.withColumn("_at", F.when(F.col("_gone").isNotNull(), spoken))
+    bounds = F.transform("_gone", lambda x: F.struct(F.get("_at", x["s"]).alias("s"), (F.get("_at", x["e"] - 1) + 1).alias("e")))
+    left = left.withColumn("_cuts", bounds)
+    cuts = F.col("_cuts")
     starts = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda x: x["e"]))
     ends = F.concat(F.transform(cuts, lambda x: x["s"]), F.array(F.size("_lines")))
     parts = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(F.col("_lines"), a + 1, b - a)))
-    left = whole.join(gone, KEY, "left").withColumn("_lines", F.when(cuts.isNotNull(), lines))
     text = F.when(cuts.isNull(), F.col("_text")).otherwise(F.array_join(parts, "\n"))
     deleted = F.aggregate(cuts, F.lit(0), lambda a, x: a + x["e"] - x["s"])
-    n_lines = F.when(F.col("_text").isNull(), 0).otherwise(F.length("_text") - F.length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1)
+    n_lines = F.when(F.col("_text").isNull(), 0).otherwise(F.octet_length("_text") - F.octet_length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1)
     return left.select(
         *[text.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in names if c not in ("_n_lines", "_n_deleted")],
         n_lines.cast("long").alias("_n_lines"),
@@ -189,26 +192,21 @@ def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
     )
 
 
-OP5_SQL = r"""
-WITH RECURSIVE d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
-l AS (SELECT doc_id, len(ls) AS n, unnest(range(0, len(ls))) AS i, unnest(ls) AS line FROM d),
-w AS (SELECT *, CASE WHEN trim(line, ' ') = '' THEN 0
-  ELSE len(trim(line, ' ')) - len(replace(trim(line, ' '), ' ', '')) + 1 END AS w FROM l),
-c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM w),
-q AS (SELECT a.doc_id, a.i, min(b.i) - a.i + 1 AS need FROM c a JOIN c b
-  ON a.doc_id = b.doc_id AND b.i >= a.i AND b.c - a.c + a.w >= 20 GROUP BY a.doc_id, a.i),
-k AS (SELECT q.doc_id, q.i, q.need, array_to_string(d.ls[q.i + 1:q.i + q.need], chr(10)) AS run FROM q JOIN d USING (doc_id)),
-f AS (SELECT need, run, min(struct_pack(a := doc_id, b := i)) AS f FROM k GROUP BY need, run),
-later AS (SELECT k.doc_id, k.i, k.need, f.f.a AS fd, f.f.b AS fi FROM k JOIN f USING (need, run)
-  WHERE k.doc_id <> f.f.a OR k.i <> f.f.b),
-grow AS (
-  SELECT doc_id, i, need AS t, fd, fi FROM later
-  UNION ALL
-  SELECT g.doc_id, g.i, g.t + 1, g.fd, g.fi FROM grow g
-  JOIN l x ON x.doc_id = g.doc_id AND x.i = g.i + g.t JOIN l y ON y.doc_id = g.fd AND y.i = g.fi + g.t
-  WHERE x.line = y.line),
-gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + t)) AS p
-  FROM (SELECT doc_id, i, max(t) AS t FROM grow GROUP BY doc_id, i))),
+OP5_SQL = rf"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(range(0, len(ls))) AS i, unnest(ls) AS line FROM d),
+w AS (SELECT *, len(regexp_extract_all(line, '{WORD}')) AS w FROM l),
+c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS c, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j FROM w WHERE w > 0),
+r AS (SELECT a.doc_id, a.j, b.j AS k FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.j BETWEEN a.j AND a.j + 19
+  WHERE b.c - a.c + a.w >= 20 AND (b.c - a.c + a.w - b.w < 20 OR b.c - a.c < 20)),
+t AS (SELECT doc_id, list(line ORDER BY j) AS s FROM c GROUP BY doc_id),
+k AS (SELECT r.doc_id, j, k, array_to_string(s[j:k], chr(10)) AS run FROM r JOIN t USING (doc_id)),
+f AS (SELECT run, min(struct_pack(a := doc_id, b := j)) AS f FROM k GROUP BY run),
+g AS (SELECT DISTINCT doc_id, j FROM (SELECT k.doc_id, unnest(range(k.j, k.k + 1)) AS j FROM k JOIN f USING (run)
+  WHERE k.doc_id <> f.f.a OR k.j <> f.f.b)),
+x AS (SELECT c.doc_id, c.j, c.i FROM g JOIN c ON c.doc_id = g.doc_id AND c.j = g.j),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT x.doc_id, unnest(range(x.i, coalesce(y.i, x.i + 1))) AS p
+  FROM x LEFT JOIN x y ON y.doc_id = x.doc_id AND y.j = x.j + 1)),
 kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS text FROM l
   LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.p = l.i WHERE gone.p IS NULL GROUP BY l.doc_id),
 n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
