@@ -38,7 +38,7 @@ FAN = 16
 #: Tokens on either side of a join to begin with, and tokens that must agree.
 FIRST_WINDOW, AGREE = 16, 4
 #: Characters that are encoded in one call, and words that a worker remembers.
-CALL_CHARS, WORDS = 400_000, 300_000
+CALL_CHARS, WORDS = 400_000, 100_000
 
 #: Characters whose class is beyond doubt: letters, digits, spaces and signs of ASCII, Latin letters, dashes and quotes.
 _LETTER, _SPACE = "A-Za-zÀ-ÖØ-öø-ſ", "\\t\\n\\r\\x20"
@@ -287,31 +287,40 @@ def encode_documents(
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, leaf_chars)
         for batch in batches:
-            ids = [x for part in _calls(batch.column("text").to_pylist()) for x in enc.encode(part)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, "ids"])
+            at = 0
+            for part in _calls(batch.column("text").to_pylist()):
+                own = batch.slice(at, len(part))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(enc.encode(part), pa.list_(pa.int32()))], [*own.schema.names, "ids"])
+                at += len(part)
+
+    def joined(pdf) -> np.ndarray:
+        return encoder(path, leaf_chars).tree(pdf["text"].tolist(), [np.asarray(x, dtype=np.int64) for x in pdf["ids"]])
 
     def up(pdf):
         """Neighbours to one node."""
         own = pdf.sort_values("node")
-        ids = encoder(path, leaf_chars).tree(own["text"].tolist(), [np.asarray(x, dtype=np.int64) for x in own["ids"]])
         out = own.iloc[:1].copy()
         out["node"] //= fan
-        out["text"], out["ids"] = ["".join(own["text"])], [ids.astype(np.int32)]
+        out["text"], out["ids"] = ["".join(own["text"])], [joined(own).astype(np.int32)]
         return out
 
-    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, leaf_chars)
-        for batch in batches:
-            for i in range(len(batch)):  # one text at a time
-                yield batch_of(batch.column("doc_id").slice(i, 1), enc.results([batch.column("ids")[i].as_py()], [None], keep_ids, keep_text))
+    def top(pdf):
+        """The last neighbours to the whole text."""
+        import pandas as pd
+
+        own = pdf.sort_values("node")
+        made = encoder(path, leaf_chars).results([joined(own).tolist()], [None], keep_ids, keep_text)
+        return pd.DataFrame({"doc_id": own["doc_id"].iloc[:1].tolist(), **made})
 
     key = ["doc_id", "th", "part", "nth"]
     node = f"doc_id {id_type}, th bigint, part int, nth bigint, node int, text string"
     long = rows.filter(size > leaf_chars).withColumn("th", F.xxhash64("text")).withColumn("part", F.spark_partition_id())
     nodes = long.mapInArrow(pieces, node).repartition(*key, "node").mapInArrow(leaves, f"{node}, ids array<int>")
-    for _ in range(max(1, math.ceil(math.log(math.ceil(longest / leaf_chars) + 1, fan)))):
-        nodes = nodes.groupBy(*key, F.floor(F.col("node") / fan).alias("up")).applyInPandas(up, f"{node}, ids array<int>")
-    return short.unionByName(nodes.select("doc_id", "ids").mapInArrow(top, schema))
+    level = F.floor(F.col("node") / fan).alias("up")
+    n = math.ceil(longest / leaf_chars) + 1  # a cut may move on
+    while n > fan:
+        nodes, n = nodes.groupBy(*key, level).applyInPandas(up, f"{node}, ids array<int>"), math.ceil(n / fan)
+    return short.unionByName(nodes.groupBy(*key).applyInPandas(top, schema))
 
 
 def default_tokenizer() -> str:
