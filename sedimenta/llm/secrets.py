@@ -1,10 +1,10 @@
 """Secret scan with corpus-wide ownership frequency.
 
-Three base patterns mark spans in a text. Every value found, and every long run of letters
-and digits, is a candidate; its hash is counted over the whole corpus by distinct
-repositories and owners. A value that one owner alone holds, and that looks random, is
-``owned`` (live-looking) and gets a span of that kind; a value that many owners hold is a
-widely copied example and gets none. Base spans stay in either case.
+Three base patterns mark spans in a text. Every value found, and every long run of letters and digits, is a
+candidate if it looks random; its hash is counted over the whole corpus by distinct owners, distinct repositories
+and distinct texts of a repository. A value that few owners, few repositories and few texts hold is ``owned``
+(live-looking); one that is spread wider in any of the three is ``copied``, an example that many took over, be it
+within one owner. Either label gets a span of its kind; base spans stay in either case.
 
 Only DataFrame functions are used. Spark has no function for the places of all matches:
 the text is split at the pattern, and the lengths of the pieces and the matches add up.
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import cut, key_join, keyed, sha256_text
+from sedimenta.llm.common import cut, key_join, keyed, sha256_text, small, written
 
 ASSIGN = (
     "([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|"
@@ -25,10 +25,10 @@ ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 #: Long runs that may be keys of a kind that no base pattern knows.
 RUN = "[A-Za-z0-9+/_=-]{20,}"
-KINDS = ["assign", "access", "hex", "owned"]
+KINDS = ["assign", "access", "hex", "owned", "copied"]
 
-#: At most so many owners hold a live-looking value.
-MAX_OWNERS = 1
+#: At most so many owners, repositories and texts (once in each repository) hold a live-looking value.
+MAX_OWNERS, MAX_REPOS, MAX_TEXTS = 2, 4, 20
 #: A live-looking value has so many distinct characters at least, a letter and a digit.
 MIN_DISTINCT = 8
 
@@ -90,44 +90,60 @@ def spans_of(docs: DataFrame, id_col: str, text_col: str, owner: Column, repo: C
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """(hash, owners, repos, docs) over the corpus: counted owner by owner, so a common value is summed before it meets."""
-    one = candidates.groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("docs"))
-    two = one.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("docs").alias("docs"))
-    return two.groupBy("hash").agg(
-        F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"), F.sum("docs").alias("docs")
-    )
+    """(hash, owners, repos, texts) over the corpus.
+
+    Summed text by text, repository by repository and owner by owner, so a common value never meets in one task.
+    """
+    one = candidates.groupBy("hash", "owner", "repo", "_th").agg(F.lit(1).alias("one"))
+    two = one.groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("texts"))
+    three = two.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("texts").alias("texts"))
+    return three.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"), F.sum("texts").alias("texts"))
 
 
 def scan_secrets(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = "lang"
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    owner_col: str = "source",
+    repo_col: str | None = "lang",
+    max_owners: int = MAX_OWNERS,
+    max_repos: int = MAX_REPOS,
+    max_texts: int = MAX_TEXTS,
 ) -> DataFrame:
-    """One row per document row: _id, n_assign, n_access, n_hex, base, spans (arrays of (s, kind, e, label)).
+    """One row per document row: _id, _th, n_assign, n_access, n_hex, n_owned, n_copied, base, spans, most_owners, most_repos, most_texts.
 
-    ``owner_col`` names the owner; owner and ``repo_col`` together name the repository. A null text is
-    empty, a null owner is an owner of its own. Repeated rows count as one and each get its result.
+    Spans are arrays of (s, kind, e, label); the last three columns are the largest frequencies of the document's
+    candidates, 0 without any. ``owner_col`` names the owner; owner and ``repo_col`` together name the repository.
+    A null text is empty, a null owner or repository one of its own, null ids are equal. Repeated rows count as one
+    and each get its result; an empty table has no rows. A long text is matched in one pass for each pattern.
     """
     owner = F.col(owner_col)
     repo = F.struct(F.col(owner_col), F.col(repo_col)) if repo_col else F.struct(owner)
+    # hashes of names, as null is a name here
     rows = cut(
-        spans_of(docs, id_col, text_col, owner, F.xxhash64(repo)).withColumn("hash", F.sha2("value", 256))
+        spans_of(docs, id_col, text_col, F.xxhash64(F.struct(owner.isNull(), owner)), F.xxhash64(F.to_json(repo), owner.isNull()))
+        .withColumn("hash", F.sha2("value", 256))
     )
     candidates = rows.filter(_looks_random(F.col("value")))
-    owned = ownership(candidates).filter(F.col("owners") <= MAX_OWNERS).select("hash")
+    narrow = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos) & (F.col("texts") <= max_texts)
+    counted = small(written(ownership(candidates).withColumn("kind", F.when(narrow, 3).otherwise(4))))
     value_start = F.col("e") - F.length("value")
-    live = candidates.join(owned, "hash").select("_id", "_th", F.lit(3).alias("kind"), value_start.alias("s"), "e").distinct()
-    every = rows.filter("kind < 3").select("_id", "_th", "kind", "s", "e").unionByName(live).distinct()
+    judged = candidates.drop("kind").join(counted, "hash").select("_id", "_th", "kind", value_start.alias("s"), "e", "owners", "repos", "texts")
+    none = [F.lit(None).cast("long").alias(c) for c in ("owners", "repos", "texts")]
+    every = rows.filter("kind < 3").select("_id", "_th", "kind", "s", "e", *none).unionByName(judged).distinct()
     label = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
     span = F.struct("s", "kind", "e", label.alias("label"))
-    per = every.groupBy("_id", "_th").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    most = [F.max(c).alias(f"most_{c}") for c in ("owners", "repos", "texts")]
+    per = every.groupBy("_id", "_th").agg(F.array_sort(F.collect_list(span)).alias("spans"), *most)
     keys = keyed(docs, id_col, text_col).select("_id", "_th")
-    none = F.array().cast("array<struct<s:int,kind:int,e:int,label:string>>")
-    out = key_join(keys, per, "left").select("_id", "_th", F.coalesce("spans", none).alias("spans"))
+    out = key_join(keys, per, "left")
+    out = out.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<s:int,kind:int,e:int,label:string>>")))
     out = out.withColumn("base", F.filter("spans", lambda x: x["kind"] < 3))
 
     def n(k: int) -> Column:
-        return F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+        return F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
 
-    return out.select("_id", "_th", *map(n, range(3)), "base", "spans")
+    return out.select("_id", "_th", *map(n, range(5)), "base", "spans", *[F.coalesce(f"most_{c}", F.lit(0).cast("long")).alias(f"most_{c}") for c in ("owners", "repos", "texts")])
 
 
 def joined(spans: Column) -> Column:
@@ -144,31 +160,41 @@ def op4_secret_ownership(spark, sf_dir: str) -> DataFrame:
         "n_hex",
         sha256_text(joined(F.col("base"))).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
+        "n_owned",
+        "n_copied",
+        "most_owners",
+        "most_repos",
+        "most_texts",
     )
 
 
 def _sql_kind(kind: int, pattern: str, group: int) -> str:
     p = pattern.replace("'", "''")
-    return f"""SELECT doc_id, source, lang, {kind} AS kind, unnest(range(1, len(m) + 1)) AS j, m, v, g FROM (
-  SELECT doc_id, source, lang, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {group}) AS v,
+    return f"""SELECT rid, own, repo, txt, {kind} AS kind, unnest(range(1, len(m) + 1)) AS j, m, v, g FROM (
+  SELECT rid, own, repo, txt, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {group}) AS v,
     string_split_regex(t, '{p}') AS g FROM t)"""
 
 
 OP4_SQL = f"""
-WITH t AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce('o' || source, '') AS own,
+  coalesce('o' || source, '') || chr(31) || coalesce('l' || lang, '') AS repo FROM documents),
+t AS (SELECT *, md5(t) AS txt FROM d),
 r AS ({_sql_kind(0, ASSIGN, 2)} UNION ALL {_sql_kind(1, ACCESS, 0)} UNION ALL {_sql_kind(2, HEX, 0)} UNION ALL {_sql_kind(3, RUN, 0)}),
-p AS (SELECT doc_id, source, lang, kind, v[j] AS value, len(m[j]) AS ln,
+p AS (SELECT rid, own, repo, txt, kind, v[j] AS value, len(m[j]) AS ln,
   CAST(list_sum(list_transform(m[1:j], lambda x: len(x))) + list_sum(list_transform(g[1:j], lambda x: len(x))) AS BIGINT) AS e FROM r),
 s AS (SELECT *, e - ln AS s FROM p WHERE kind <> 0 OR len(value) >= 6),
 c AS (SELECT * FROM s WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
   AND len(list_distinct(string_split(value, ''))) >= {MIN_DISTINCT}),
-o AS (SELECT value FROM c GROUP BY value HAVING count(DISTINCT source) <= {MAX_OWNERS}),
-a AS (SELECT DISTINCT doc_id, kind, s, e FROM s WHERE kind < 3
-  UNION SELECT DISTINCT doc_id, 3, e - len(value), e FROM c JOIN o USING (value)),
-x AS (SELECT *, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || s || ':' || e AS w FROM a)
-SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
-  count(*) FILTER (kind = 2) AS n_hex,
-  sha256(coalesce(string_agg(w, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256,
-  coalesce(string_agg(w, ',' ORDER BY s, kind), '') AS spans
-FROM documents d LEFT JOIN x USING (doc_id) GROUP BY d.doc_id
+o AS (SELECT value, count(DISTINCT own) AS owners, count(DISTINCT repo) AS repos, count(DISTINCT repo || chr(30) || txt) AS texts FROM c GROUP BY value),
+a AS (SELECT DISTINCT rid, kind, s, e, NULL::BIGINT AS owners, NULL::BIGINT AS repos, NULL::BIGINT AS texts FROM s WHERE kind < 3
+  UNION SELECT DISTINCT rid, CASE WHEN owners <= {MAX_OWNERS} AND repos <= {MAX_REPOS} AND texts <= {MAX_TEXTS} THEN 3 ELSE 4 END,
+    e - len(value), e, owners, repos, texts FROM c JOIN o USING (value)),
+x AS (SELECT *, ['assign', 'access', 'hex', 'owned', 'copied'][kind + 1] || ':' || s || ':' || e AS w FROM a),
+g AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  count(*) FILTER (kind = 3) AS n_owned, count(*) FILTER (kind = 4) AS n_copied, max(owners) AS o, max(repos) AS r, max(texts) AS t,
+  string_agg(w, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(w, ',' ORDER BY s, kind) AS spans FROM x GROUP BY rid)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned, coalesce(n_copied, 0) AS n_copied,
+  coalesce(o, 0) AS most_owners, coalesce(r, 0) AS most_repos, coalesce(g.t, 0) AS most_texts
+FROM d LEFT JOIN g USING (rid)
 """
