@@ -17,12 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import cut, key_join, keyed, sha256_text, small
+from sedimenta.llm.common import cut, key_join, keyed, sha256_text, small, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What lies between words: every ASCII character but letters and digits.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
+#: Bytes of window texts that are sent to every executor at most.
+BROADCAST_BYTES = 32 * 1024 * 1024
+
 #: Low bits of a packed fingerprint that hold the position; longer texts wrap around.
 POS_BITS = 24
 
@@ -120,12 +123,19 @@ def decontaminate(
         .select(place.alias("f"), "m")
         .distinct()
     )
-    item_windows = cut(
+    # windows of equal sets of items share a set, so that a passage meets its items once and not window by window
+    windows_of = (
         items.select("item", "_words", F.explode_outer(_windows(F.size("_words"), span)).alias("x"))
         .filter("x IS NOT NULL")
-        .select("item", _window_text(F.col("_words"), F.col("x.s"), F.col("x.m")).alias("wt"))
-        .distinct()
+        .groupBy(_window_text(F.col("_words"), F.col("x.s"), F.col("x.m")).alias("wt"))
+        .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
+    windows_of = written(windows_of.withColumn("g", F.sha2(F.to_json("items"), 256)))
+    sets = small(written(windows_of.select("g", "items").dropDuplicates(["g"])), bound=broadcast_rows)
+    n_texts, size = windows_of.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("wt")), F.lit(0))).first()
+    texts = windows_of.select("wt", "g")
+    if n_texts <= broadcast_rows and size <= BROADCAST_BYTES:
+        texts = F.broadcast(texts)
 
     marked = winnowed(keyed(docs, id_col, text_col).withColumn("_words", words(F.col("_text"))), span, k, short)
     exploded = marked.select("_id", "_th", "_n", F.posexplode_outer("_fps").alias("at", "_v")).select(
@@ -170,17 +180,14 @@ def decontaminate(
             F.transform("tried", lambda x: F.struct(x["s"], x["m"], _window_text(F.col("_words"), x["s"], x["m"]).alias("wt")))
         ).alias("x"),
     )
-    texts = item_windows.select("wt").distinct()
-    true_hits = cut(windows.filter("x IS NOT NULL").select("_id", "_th", "x.s", "x.m", "x.wt").join(texts, "wt").distinct())
+    true_hits = cut(windows.filter("x IS NOT NULL").select("_id", "_th", "x.s", "x.m", "x.wt").join(texts, "wt").drop("wt").distinct())
     spans = true_hits.groupBy("_id", "_th").agg(F.array_sort(F.collect_set(F.struct("s", "m"))).alias("hits"))
     named = (
-        true_hits.select("_id", "_th", "wt")
-        .distinct()
-        .join(item_windows, "wt")
-        .select("_id", "_th", "item")
+        true_hits.select("_id", "_th", "g")
         .distinct()
+        .join(sets, "g")
         .groupBy("_id", "_th")
-        .agg(F.array_sort(F.collect_list("item")).alias("item_ids"))
+        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("item_ids"))
     )
     both = key_join(spans, named)
     covered = F.size(
@@ -198,20 +205,24 @@ def decontaminate(
 
 
 def clean(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_items: int = 1
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_items: int = 1, span: int = 8
 ) -> DataFrame:
     """``docs`` without the documents that hold passages of more than ``max_items`` items; from the texts of
-    the others the hit words go, with what lies between them. Documents without hits stay as they are.
+    the others the hit words go, with what lies between them. Documents without hits stay as they are, as do
+    null and empty texts; without items all do. Column names may clash with those of ``benchmark``.
     """
-    found = decontaminate(docs, benchmark, id_col, text_col).filter("n_hit > 0").select("_id", "_th", "hits", "item_ids").distinct()
+    found = decontaminate(docs, benchmark, id_col, text_col, span=span).filter("n_hit > 0").select("_id", "_th", "hits", "item_ids").distinct()
     whole = keyed(docs, id_col, text_col, F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
     out = key_join(whole, found, "left").filter(F.col("hits").isNull() | (F.size("item_ids") <= max_items))
     # the pieces of a text in turn: what is between words, then the word
     ends = F.transform("hits", lambda x: x["s"] + x["m"])
     begins = F.transform("hits", lambda x: x["s"])
     pieces = F.regexp_extract_all("_text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0))
-    # spans come sorted, so the kept pieces lie between the furthest end so far and the next begin
-    after = F.concat(F.array(F.lit(0)), F.transform(F.sequence(F.lit(1), F.size(ends)), lambda i: F.array_max(F.slice(ends, 1, i))))
+    # spans come sorted, so the kept pieces lie between the furthest end so far and the next begin; no more than
+    # span * span of them begin less than span words before one, and the others end before it does
+    far = span * span
+    furthest = lambda i: F.array_max(F.slice(ends, F.greatest(F.lit(1), i - far + 1), F.least(i, F.lit(far))))
+    after = F.concat(F.array(F.lit(0)), F.transform(F.sequence(F.lit(1), F.size(ends)), furthest))
     upto = F.concat(begins, F.array(F.size("_pieces")))
     left = F.flatten(
         F.zip_with(after, upto, lambda a, b: F.when(b > a, F.slice(F.col("_pieces"), a + 1, b - a)).otherwise(F.array().cast("array<string>")))
