@@ -18,13 +18,14 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import cut, key_join, keyed, with_python
+from sedimenta.llm.common import cut, key_join, keyed, small, with_python, written
 from sedimenta.llm.components import components
 
 SHINGLE = 5
@@ -141,13 +142,13 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     col = np.repeat(np.cumsum(count > 1) - 1, count)
     shared = np.repeat(count > 1, count)
     col, which = col[shared], which[shared]
-    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    out = np.zeros((len(sets), len(sets)), dtype=np.int64)
     step = 4096
     edges = np.searchsorted(col, np.arange(0, (col[-1] + 1 if len(col) else 0) + step, step))
     for k, (a, b) in enumerate(zip(edges, edges[1:])):
         m = np.zeros((len(sets), step), dtype=np.float32)
         m[which[a:b], col[a:b] - k * step] = 1
-        out += m @ m.T
+        out += (m @ m.T).astype(np.int64)  # at most step, which single precision holds
     return out
 
 
@@ -157,9 +158,10 @@ def linked(rows: list[dict], home: int, p: int, q: int, threshold: float) -> lis
     if len(rows) < 2:
         return []
     sets = [np.frombuffer(r["sh"], dtype=_U) for r in rows]
-    n = np.array([len(s) for s in sets], dtype=np.float32)
+    n = np.array([len(s) for s in sets], dtype=np.int64)
     both = overlaps(sets)
-    near = both >= np.float32(threshold - 1e-6) * (n[:, None] + n[None, :] - both)
+    least = Fraction(str(threshold))  # whole numbers throughout, so that a pair at the threshold is a link
+    near = both * least.denominator >= least.numerator * (n[:, None] + n[None, :] - both)
     blk = np.array([r["blk"] for r in rows])
     np.fill_diagonal(near, False)
     if p != q:
@@ -242,6 +244,7 @@ def near_duplicates(
     banded = key_join(profiles.select("_id", "_th", "bands"), reps).select("sid", F.posexplode("bands").alias("t", "bh"))
     banded = cut(banded.distinct())
     buckets = banded.groupBy("t", "bh").agg(F.min("sid").alias("home"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    buckets = small(written(buckets.drop("m")))
     homes = cut(banded.join(buckets, ["t", "bh"]).select("sid", "home").distinct())
 
     per_set = homes.groupBy("sid").agg(F.array_sort(F.collect_list("home")).alias("homes"))
@@ -259,7 +262,9 @@ def near_duplicates(
     payload = texts.select("sid", "weight", "homes", "_text").mapInArrow(
         _sets, "sid bigint, weight bigint, homes array<bigint>, sh binary"
     )
-    spread = members.select("sid", F.explode("homes").alias("home")).join(sizes, "home")
+    # only homes of several blocks are looked up: a set is in one block of the others
+    split = small(written(sizes.filter("g > 1")))
+    spread = members.select("sid", F.explode("homes").alias("home")).join(split, "home", "left").withColumn("g", F.coalesce("g", F.lit(1)))
     spread = spread.withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("g")).cast("int"))
     spread = spread.select("sid", "home", "blk", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
     spread = spread.select("sid", "home", "blk", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"))
