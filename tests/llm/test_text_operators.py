@@ -64,43 +64,59 @@ def test_clean_cuts_hits_and_drops_documents_of_two_items(spark):
     assert got == {1: "(x) y, z!", 3: "left alone -- as it is", 4: None, 5: ""}
 
 
-def brute_lines(docs, min_words):
-    order = sorted(docs, key=lambda r: r[0])
-    lines = {d: t.split("\n") for d, t in order if t is not None}
+def test_clean_equals_cutting_word_by_word(spark):
+    rng = random.Random(12)
+    vocab = ["aa", "Bb", "cc", "É", "dd"]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([1, 4, 8, 11])))) for i in range(3)]
+    docs = [(i, "".join(rng.choice(vocab) + rng.choice([" ", ", ", "\n", "-"]) for _ in range(rng.randint(0, 60)))) for i in range(60)]
+    docs += [(90, ". " + " ".join(items[2][1] + " zz" for _ in range(2_000)))]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in decontam.clean(spark.createDataFrame(docs, DOCS), b, max_items=3).collect()}
+    for i, t in docs:
+        pieces = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", t)
+        w, hit = words_of(t), set()
+        for _, item in items:
+            x = words_of(item)
+            m = min(8, len(x))
+            grams = {tuple(x[s : s + m]) for s in range(len(x) - m + 1)}
+            for s in range(len(w) - m + 1):
+                if tuple(w[s : s + m]) in grams:
+                    hit |= set(range(s, s + m))
+        head = re.match(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", t)[0]
+        assert got[i] == (head + "".join(p for k, p in enumerate(pieces) if k not in hit) if hit else t), i
 
-    def weight(x):
-        x = x.strip(" ")
-        return x.count(" ") + 1 if x else 0
 
-    first, at = {}, []
+def brute_lines(docs, min_words):
+    """Every run of lines with a word, of whatever length, that has an equal run at an earlier place."""
+    lines = {d: t.split("\n") for d, t in sorted(docs, key=lambda r: r[0]) if t is not None}
+    weight = lambda x: len(re.findall(r"[\u3040-\u30ff\u4e00-\u9fff]|[^\s\u3040-\u30ff\u4e00-\u9fff]+", x))
+    first, runs = {}, []
     for d, ls in lines.items():
-        for i in range(len(ls)):
-            total = n = 0
-            while i + n < len(ls) and total < min_words:
-                total += weight(ls[i + n])
-                n += 1
-            if total >= min_words:
-                key = tuple(ls[i : i + n])
-                first.setdefault(key, (d, i))
-                at.append((d, i, key))
+        at = [i for i, x in enumerate(ls) if weight(x)]
+        for a in range(len(at)):
+            total = 0
+            for b in range(a, len(at)):
+                total += weight(ls[at[b]])
+                if total >= min_words:
+                    key = tuple(ls[i] for i in at[a : b + 1])
+                    runs.append((d, a, b, at, key))
+                    first.setdefault(key, (d, a))
     gone = {d: set() for d in lines}
-    for d, i, key in at:
-        fd, fi = first[key]
-        if (fd, fi) != (d, i):
-            n = 0
-            while i + n < len(lines[d]) and fi + n < len(lines[fd]) and lines[d][i + n] == lines[fd][fi + n]:
-                n += 1
-            gone[d] |= set(range(i, i + n))
+    for d, a, b, at, key in runs:
+        if first[key] != (d, a):
+            gone[d] |= {at[i] for i in range(a, b + 1)}
+    for d, ls in lines.items():  # lines without a word between two that go
+        at = [i for i, x in enumerate(ls) if weight(x)]
+        gone[d] |= {i for x, y in zip(at, at[1:]) if x in gone[d] and y in gone[d] for i in range(x, y)}
     return {d: "\n".join(x for i, x in enumerate(ls) if i not in gone[d]) for d, ls in lines.items()}
 
 
 def test_line_dedup_equals_brute_force(spark):
     rng = random.Random(2)
-    pool = ["", "one", "two words", "a b c d", "e f g h i j", "  ", "k l m", "n o p q r s t u v"]
+    pool = ["", "one", "two words", "a b c d", "e f g h i j", "  ", "k l m", "n o p q r s t u v", "tab\tand\u00a0no-break", "日本語の文", " two  spaces ", "l1\rl2"]
     docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 14)))) for i in range(60)]
     docs += [(100 + i, docs[i][1]) for i in range(8)] + [(200, None), (201, ""), (202, "\n".join(["solo"] * 40)), (203, "\n" * 50)]
-    docs += [(300, "\n".join(f"line {i} of a long text" for i in range(900)))] + [(301, docs[-1][1]), (302, docs[-1][1] + "\nmore")]
-    for min_words in (1, 6, 25):
+    for min_words in (1, 6, 20):
         want = brute_lines(docs, min_words)
         d = spark.createDataFrame(docs + [docs[3]], DOCS).withColumn("s", F.lit(1)).withColumn("_n_lines", F.lit("clash"))
         rows = line_dedup.dedup_lines(d, min_words=min_words).collect()
@@ -111,6 +127,22 @@ def test_line_dedup_equals_brute_force(spark):
                 assert r["_n_lines"] - r["_n_deleted"] == r["text"].count("\n") + 1
 
 
+def test_line_dedup_measures_against_any_earlier_copy(spark):
+    a, c = " ".join(f"a{i}" for i in range(45)), " ".join(f"c{i}" for i in range(10))
+    docs = [(1, f"{a}\nx"), (2, f"{a}\n{c}\ny"), (3, f"{a}\n{c}\nz"), (4, f"{c}\n{a}")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == {1: f"{a}\nx", 2: f"{c}\ny", 3: "z", 4: c}
+    assert got == brute_lines(docs, 20)
+
+
+def test_line_dedup_of_a_text_of_many_lines(spark):
+    long = "\n".join(f"line {i} of a long text" for i in range(200_000))
+    docs = [(1, long), (2, "head\n" + long + "\ntail"), (3, "\n".join(["again"] * 100_000))]
+    rows = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect()}
+    assert rows[1]["text"] == long and rows[2]["text"] == "head\ntail" and rows[2]["_n_deleted"] == 200_000
+    assert rows[3]["text"] == "\n".join(["again"] * 20)[: 6 * rows[3]["text"].count("again") - 1] and rows[3]["_n_lines"] == 100_000
+
+
 def test_line_dedup_of_shuffled_join_null_ids_and_no_rows(spark):
     long = "this line is long enough to count as a run of its own"
     d = spark.createDataFrame([(None, long), (1, long), (2, "short\n" + long + "\nend")], DOCS)
@@ -132,8 +164,10 @@ def test_secrets_equal_brute_force_and_owners_decide(spark):
     parts = ["password", "Token", "api_key", "APIKEY=", " = ", ":", "'", "é🙂", "AKIA", "ABCDEFGH12345678", "deadbeef01", "0123456789abcdef", " ", "xyz", "secret"]
     docs = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 14))), f"src{i % 5}", "en") for i in range(300)]
     shared, own = "Ab9xQ72mLp05ZtR4kWvY", "Zz81kPq0Lm3nB7vC5xTd"
-    docs += [(1000 + i, f"see {shared} here", f"src{i}", "en") for i in range(3)] + [(1100, f"é {own}!", "src1", None)]
-    docs += [(1200, None, None, None), (1201, "", "src1", "en"), (1202, "x" * 300_000 + " token=abcdefg1", "src2", "de")]
+    docs += [(1000 + i, f"see {shared} here", f"src{i}", "en") for i in range(3)] + [(1100, f"é {own}!", "src1", None), (1101, f"é {own}!", None, None)]
+    wide, many = "Qw7eRt5yUi3oPa1sDf9g", "Mn6bVc4xZl2kJh8gFd0s"
+    docs += [(1300 + i, f"{i} {wide}", "src1", f"lang{i}") for i in range(5)] + [(1400 + i, f"{i} {many}", "src1", "en") for i in range(21)]
+    docs += [(1200, None, None, None), (1201, "", "src1", "en"), (1202, "x" * 300_000 + " token=abcdefg1", "src2", "de"), (None, f"null {own}", None, None)]
     d = spark.createDataFrame(docs + [docs[0]], "doc_id long, text string, source string, lang string").withColumn("hash", F.lit(0))
     rows = secrets.scan_secrets(d).withColumn("b", secrets.joined(F.col("base"))).withColumn("all", secrets.joined(F.col("spans"))).collect()
     assert len(rows) == len(docs) + 1
@@ -142,11 +176,23 @@ def test_secrets_equal_brute_force_and_owners_decide(spark):
         assert r["b"] == ",".join(brute_secrets(text[r["_id"]])), r
         assert set(r["b"].split(",")) - {""} <= set(r["all"].split(","))
     by_id = {r["_id"]: r for r in rows}
-    assert by_id[1000]["all"] == "" and by_id[1100]["all"] == "owned:2:22"
+    frequency = lambda i: tuple(by_id[i][c] for c in ("all", "most_owners", "most_repos", "most_texts"))
+    assert frequency(1000) == ("copied:4:24", 3, 3, 3)  # three owners
+    assert frequency(1100) == ("owned:2:22", 2, 2, 3) == frequency(1101)  # a null owner is one
+    assert frequency(None) == ("owned:5:25", 2, 2, 3)
+    assert frequency(1300) == ("copied:2:22", 1, 5, 5)  # one owner, but many repositories
+    assert frequency(1400) == ("copied:2:22", 1, 1, 21)  # one repository, but many texts
     assert (by_id[1202]["n_assign"], by_id[1200]["n_hex"]) == (1, 0)
     assert secrets.scan_secrets(d.limit(0)).count() == 0
 
 
+def test_ownership_equals_sets(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("abc"), rng.randint(0, 3), rng.randint(0, 5), rng.randint(0, 9)) for _ in range(200)]
+    got = {r["hash"]: tuple(r)[1:] for r in secrets.ownership(spark.createDataFrame(rows, "hash string, owner long, repo long, _th long")).collect()}
+    assert got == {h: (len({o for x, o, _, _ in rows if x == h}), len({(o, p) for x, o, p, _ in rows if x == h}), len({y for y in rows if y[0] == h})) for h in "abc"}
+
+
 def brute_pii(t):
     patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
     out = []
