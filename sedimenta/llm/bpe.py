@@ -23,7 +23,7 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ FAN = 16
 #: Tokens on either side of a join to begin with, and tokens that must agree.
 FIRST_WINDOW, AGREE = 16, 4
 #: Characters that are encoded in one call, and words that a worker remembers.
-CALL_CHARS, WORDS = 400_000, 100_000
+CALL_CHARS, WORDS = 400_000, 300_000
 
 #: Characters whose class is beyond doubt: letters, digits, spaces and signs of ASCII, Latin letters, dashes and quotes.
 _LETTER, _SPACE = "A-Za-zÀ-ÖØ-öø-ſ", "\\t\\n\\r\\x20"
@@ -67,7 +67,7 @@ class TreeEncoder:
             # a byte-level token has one character for each byte
             self.width[i] = len(token.encode()) if i in added else len(token)
         self.by_word = self._by_word(path)
-        self.ids_of: dict[str, list[int]] = {}
+        #: The ids of each word that is known, in decimal digits, as the digests want them.
         self.text_of: dict[str, str] = {}
         self.bytes_of = self._bytes(vocab) if self.by_word else {}
 
@@ -98,19 +98,23 @@ class TreeEncoder:
 
     def learn(self, words: list[list[str]]) -> None:
         """Encode the words that aren't known yet, in one call."""
-        if len(self.ids_of) > WORDS:
-            for w in list(islice(self.ids_of, WORDS // 2, None)):  # those met first are the frequent ones
-                del self.ids_of[w], self.text_of[w]
-        new = list(set().union(*words).difference(self.ids_of))
+        if len(self.text_of) > WORDS:
+            for w in list(islice(self.text_of, WORDS // 2, None)):  # those met first are the frequent ones
+                del self.text_of[w]
+        new = list(set().union(*words).difference(self.text_of))
         for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-            self.ids_of[w] = e.ids
-            self.text_of[w] = ",".join(map(str, e.ids))
+            self.text_of[w] = str(e.ids)[1:-1].replace(" ", "")
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encoded(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
+        """Ids of each text, and the same in decimal digits."""
         split = [self.words(t) for t in texts]
         self.learn([w for w in split if w])
         other = iter(self.tok.encode_batch_fast([t for t, w in zip(texts, split) if w is None], add_special_tokens=False))
-        return [next(other).ids if w is None else list(chain.from_iterable(map(self.ids_of.__getitem__, w))) for w in split]
+        digits = [str(next(other).ids)[1:-1].replace(" ", "") if w is None else ",".join(map(self.text_of.__getitem__, w)) for w in split]
+        return [(np.fromstring(d, dtype=np.int32, sep=",") if d else np.zeros(0, dtype=np.int32), d) for d in digits]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [ids.tolist() for ids, _ in self.encoded(texts)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         if self.by_word:
@@ -152,7 +156,7 @@ class TreeEncoder:
             while jr < len(right) and data[b] & 0xC0 == 0x80:
                 b += int(self.width[right[jr]])
                 jr += 1
-            window = np.array(self.encode([data[a:b].decode()])[0], dtype=np.int64)
+            window = self.encoded([data[a:b].decode()])[0][0].astype(np.int64)
             if len(window) >= 2 * AGREE or jl == len(left) or jr == len(right):
                 head, tail = left[len(left) - jl :], right[:jr]
                 same_head = jl == len(left) or np.array_equal(window[:AGREE], head[:AGREE])
@@ -177,25 +181,16 @@ class TreeEncoder:
         flat = iter(self.encode([leaf for leaves in split for leaf in leaves]))
         return [self.tree(leaves, [np.array(next(flat), dtype=np.int64) for _ in leaves]).tolist() for leaves in split]
 
-    def digests(self, texts: list[str], keep_ids: bool, keep_text: bool) -> dict[str, list]:
-        """Results of texts up to a leaf each."""
-        split = [self.words(t) for t in texts]
-        self.learn([w for w in split if w])
-        ids = self.encode([t for t, w in zip(texts, split) if w is None]) if None in split else []
-        rest = iter(ids)
-        every = [next(rest) if w is None else list(chain.from_iterable(map(self.ids_of.__getitem__, w))) for w in split]
-        joined = [None if w is None else ",".join(map(self.text_of.__getitem__, w)) for w in split]
-        return self.results(every, joined, keep_ids, keep_text)
-
-    def results(self, ids: list[list[int]], joined: list[str | None], keep_ids: bool, keep_text: bool) -> dict[str, list]:
-        texts = self.decode(ids)
+    def results(self, encoded: list[tuple[np.ndarray, str]], keep_ids: bool, keep_text: bool) -> dict[str, list]:
+        """Counts and digests of encodings, and of the texts that their ids decode to."""
+        texts = self.decode([ids.tolist() for ids, _ in encoded])
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         out: dict[str, list] = {
-            "n_tokens": [len(x) for x in ids],
-            "ids_sha256": [sha(str(x)[1:-1].replace(" ", "") if s is None else s) for x, s in zip(ids, joined)],
+            "n_tokens": [len(ids) for ids, _ in encoded],
+            "ids_sha256": [sha(digits) for _, digits in encoded],
             "decoded_sha256": [sha(t) for t in texts],
         }
-        return out | ({"ids": ids} if keep_ids else {}) | ({"decoded": texts} if keep_text else {})
+        return out | ({"ids": [ids for ids, _ in encoded]} if keep_ids else {}) | ({"decoded": texts} if keep_text else {})
 
 
 _encoders: dict[tuple[str, int], TreeEncoder] = {}
@@ -262,7 +257,7 @@ def encode_documents(
         for batch in batches:
             at = 0
             for part in _calls(batch.column("text").to_pylist()):
-                yield batch_of(batch.column("doc_id").slice(at, len(part)), enc.digests(part, keep_ids, keep_text))
+                yield batch_of(batch.column("doc_id").slice(at, len(part)), enc.results(enc.encoded(part), keep_ids, keep_text))
                 at += len(part)
 
     size = F.length("text")
@@ -290,7 +285,7 @@ def encode_documents(
             at = 0
             for part in _calls(batch.column("text").to_pylist()):
                 own = batch.slice(at, len(part))
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(enc.encode(part), pa.list_(pa.int32()))], [*own.schema.names, "ids"])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array([ids for ids, _ in enc.encoded(part)], pa.list_(pa.int32()))], [*own.schema.names, "ids"])
                 at += len(part)
 
     def joined(pdf) -> np.ndarray:
@@ -309,7 +304,8 @@ def encode_documents(
         import pandas as pd
 
         own = pdf.sort_values("node")
-        made = encoder(path, leaf_chars).results([joined(own).tolist()], [None], keep_ids, keep_text)
+        ids = joined(own).astype(np.int32)
+        made = encoder(path, leaf_chars).results([(ids, ",".join(map(str, ids.tolist())))], keep_ids, keep_text)
         return pd.DataFrame({"doc_id": own["doc_id"].iloc[:1].tolist(), **made})
 
     key = ["doc_id", "th", "part", "nth"]
