@@ -1,11 +1,16 @@
 """Quality rules by distribution divergence.
 
-Each language has a reference: the mean histogram of character classes and of common words
-over all its documents that pass the base rules and are long enough. The mean is taken twice,
-the second time over the half of the documents that is nearest to the first. A document is kept if the
-Jensen-Shannon distances of its own histograms to those of its language are within limits.
-Guards: a short text has a wider limit, as its histogram is noisy, and below a minimum of words
-none; a language with few documents has no reference and gives no verdict.
+Each language has a reference: the mean histogram of character classes and of common words over all its
+documents that pass the base rules. The mean is taken twice, the second time over the half of the documents
+that is nearest to the first. A document is kept if the Jensen-Shannon distances of its own histograms to those
+of its language are within limits.
+
+Limits come from the distances themselves. A histogram of n observations lies about c / n from what it was drawn
+from (squared distance), so n times the square is alike for short and long texts; per language its median and its
+lower tenth, which junk doesn't reach, give a level and a spread. A document may lie ``Z`` spreads above the level, besides
+a floor for what documents differ by beyond chance. A short text thus has a wider limit, as its histogram is noisy;
+below a minimum of words none, and a language with few documents has no reference and gives no verdict.
+Quantiles are read off counts of bins, so nothing grows with a language's documents.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimenta.llm.common import cut, small, with_python
@@ -22,8 +27,10 @@ from sedimenta.llm.textstats import CLASSES, COMMON, N_COMMON, counts
 MIN_WORDS = 50
 #: Documents that a language's reference needs.
 MIN_DOCS = 20
-#: Limits on the two distances, and what is added for noise: NOISE * sqrt(bins / observations).
-CLASS_LIMIT, WORD_LIMIT, NOISE = 0.15, 0.33, 0.3
+#: What the two distances of a long document may come to, and spreads above the level that chance may account for.
+CLASS_FLOOR, WORD_FLOOR, Z = 0.18, 0.10, 6.0
+#: Bins of a distance, and of a doubling of the scaled square of one. Spread of a normal distribution below its median.
+STEPS, OCTAVE, TENTH = 4096, 32, 1.2816
 
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -55,6 +62,19 @@ def _share(c: str) -> Column:
     return F.when(total > 0, F.transform(c, lambda x: x / total))
 
 
+def _bin(x: Column) -> Column:
+    """Bins of a positive number, ``OCTAVE`` for each doubling."""
+    return F.floor(F.log2(F.greatest(x, F.lit(1e-9))) * OCTAVE)
+
+
+def _quantiles(rows: DataFrame, value: Column, names: dict[str, float]) -> DataFrame:
+    """By language, the bin in which each quantile falls; the window runs over bins, not rows."""
+    bins = rows.filter(value.isNotNull()).groupBy("lang", value.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    so_far, whole = Window.partitionBy("lang").orderBy("b"), Window.partitionBy("lang")
+    bins = bins.withColumn("up", F.sum("n").over(so_far)).withColumn("all", F.sum("n").over(whole))
+    return bins.groupBy("lang").agg(*[F.min(F.when(F.col("up") >= q * F.col("all"), F.col("b"))).alias(name) for name, q in names.items()])
+
+
 def divergence_rules(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -62,14 +82,16 @@ def divergence_rules(
     lang_col: str = "lang",
     min_words: int = MIN_WORDS,
     min_docs: int = MIN_DOCS,
-    class_limit: float = CLASS_LIMIT,
-    word_limit: float = WORD_LIMIT,
-    noise: float = NOISE,
+    class_floor: float = CLASS_FLOOR,
+    word_floor: float = WORD_FLOOR,
+    z: float = Z,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, the base counts, base_failed, class_js, word_js, kept.
+    """One row per row of ``docs``: doc_id, the base counts, base_failed, class_js, word_js, class_far, word_far, kept.
 
-    A null text has no words and fails the base rules. A null language is the language ''. A language without a
-    list of common words has no word_js. Repeated rows each get the row's result and each count in references.
+    A null text has no words and fails the base rules; an empty table has no rows. A null language is the language ''.
+    A language without a list of common words has no word_js, one of fewer than ``min_docs`` documents neither distance,
+    and what isn't there isn't far. Distances in the median's bin count as near. Repeated rows each get the row's result and
+    each count in references; null ids are carried. Other columns of ``docs`` aren't read, so their names may clash.
     """
     with_python(docs.sparkSession)
     rows = docs.select(
@@ -79,7 +101,7 @@ def divergence_rules(
     schema = f"doc_id {id_type}, lang string, {', '.join(f'{c} bigint' for c in _COUNTS)}, classes array<bigint>, common array<bigint>"
     measured = rows.mapInArrow(_measure, schema)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    measured = cut(measured.withColumn("base_failed", failed).withColumn("p", _share("classes")).withColumn("w", _share("common")))
+    measured = cut(measured.withColumn("base_failed", failed).withColumn("p", _share("classes")).withColumn("w", _share("common")).drop("classes", "common"))
 
     def mean(c: str, n: int) -> Column:
         return F.array(*[F.coalesce(F.avg(F.get(c, F.lit(i))), F.lit(0.0)) for i in range(n)])
@@ -97,20 +119,29 @@ def divergence_rules(
             .withColumn("word_js", js_distance(F.col("w"), F.col("ref_w")))
         )
 
-    slack = lambda bins, n: noise * F.sqrt(F.lit(float(bins)) / F.col(n))
-    far = (F.col("class_js") > class_limit + slack(len(CLASSES), "word_chars")) | F.coalesce(
-        F.col("word_js") > word_limit + slack(N_COMMON + 1, "n_words"), F.lit(False)
-    )
     first = against(measured.filter("NOT base_failed")).filter("NOT base_failed")
-    middle = cut(first.groupBy("lang").agg(F.percentile_approx("class_js", 0.5, 1000).alias("middle")))
-    joined = against(first.join(small(middle), "lang").filter("class_js <= middle"))
-    kept = ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))
-    return joined.select("doc_id", *_COUNTS, "base_failed", "class_js", "word_js", kept.alias("kept"))
+    near = F.floor(F.col("class_js") * STEPS)
+    middle = cut(_quantiles(first, near, {"middle": 0.5}))
+    joined = against(first.join(small(middle), "lang").filter(near <= F.col("middle")))
+
+    # by how much n times the squared distance may exceed its language's level
+    class_t, word_t = F.pow("class_js", 2) * F.col("word_chars"), F.pow("word_js", 2) * F.col("n_words")
+    passed = joined.filter("NOT base_failed")
+    limits = _quantiles(passed, _bin(class_t), {"cm": 0.5, "cl": 0.1}).join(_quantiles(passed, _bin(word_t), {"wm": 0.5, "wl": 0.1}), "lang", "left")
+    edge = lambda b: F.pow(F.lit(2.0), (F.col(b) + 1) / OCTAVE)
+    level = lambda m, low: edge(m) + z / TENTH * (edge(m) - edge(low))
+    limits = cut(limits.select("lang", level("cm", "cl").alias("class_level"), level("wm", "wl").alias("word_level")))
+    judged = joined.join(small(limits), "lang", "left")
+    far = lambda t, n, floor, top: F.coalesce(t > floor * floor * F.col(n) + F.col(top), F.lit(False))
+    judged = judged.withColumn("class_far", far(class_t, "word_chars", class_floor, "class_level"))
+    judged = judged.withColumn("word_far", far(word_t, "n_words", word_floor, "word_level"))
+    kept = ~F.col("base_failed") & ~F.col("class_far") & ~F.col("word_far")
+    return judged.select("doc_id", *_COUNTS, "base_failed", "class_js", "word_js", "class_far", "word_far", kept.alias("kept"))
 
 
 def op1_distribution_divergence(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    return divergence_rules(docs).select("doc_id", *_COUNTS, "base_failed", "kept")
+    return divergence_rules(docs).select("doc_id", *_COUNTS, "base_failed", "kept", "class_far", "word_far")
 
 
 def _sql_js(p: str, q: str) -> str:
@@ -130,6 +161,21 @@ def _sql_mean(name: str, source: str, where: str) -> str:
   LEFT JOIN {one('p')} USING (lang) LEFT JOIN {one('w')} USING (lang))"""
 
 
+def _sql_quantiles(source: str, value: str, names: dict[str, float]) -> str:
+    picked = ", ".join(f"min(CASE WHEN up >= {q} * al THEN b END) AS {name}" for name, q in names.items())
+    return f"""(SELECT lang, {picked} FROM (SELECT lang, b, sum(n) OVER (PARTITION BY lang ORDER BY b) AS up, sum(n) OVER (PARTITION BY lang) AS al
+    FROM (SELECT lang, {value} AS b, count(*) AS n FROM {source} GROUP BY ALL) WHERE b IS NOT NULL) GROUP BY lang)"""
+
+
+def _sql_bin(t: str) -> str:
+    return f"floor(log2(greatest({t}, 1e-9)) * {OCTAVE})"
+
+
+def _sql_level(m: str, low: str) -> str:
+    edge = f"pow(2.0, ({{}} + 1) / {OCTAVE})"
+    return f"{edge.format(m)} + {Z} / {TENTH} * ({edge.format(m)} - {edge.format(low)})"
+
+
 _LISTS = " ".join(f"WHEN '{lang}' THEN [{', '.join(repr(w) for w in words)}]" for lang, words in COMMON.items())
 
 OP1_SQL = rf"""
@@ -152,12 +198,16 @@ m AS (SELECT *, CASE WHEN len(t) > 0 THEN list_transform(c, lambda x: x / len(t)
     list_transform(list_append(cw, n_words - list_sum(cw)), lambda x: x / n_words::DOUBLE) END AS w FROM k),
 {_sql_mean('r1', 'm', 'NOT base_failed')},
 d1 AS (SELECT m.*, {_sql_js('p', 'ref_p')} AS js FROM m LEFT JOIN r1 USING (lang) WHERE NOT base_failed),
-near AS (SELECT d1.* FROM d1 JOIN (SELECT lang, quantile_disc(js, 0.5) AS middle FROM d1 GROUP BY lang) USING (lang) WHERE js <= middle),
+near AS (SELECT d1.* FROM d1 JOIN {_sql_quantiles("d1", f"floor(js * {STEPS})", {"middle": 0.5})} USING (lang) WHERE floor(js * {STEPS}) <= middle),
 {_sql_mean('r2', 'near', 'TRUE')},
-d2 AS (SELECT m.*, {_sql_js('p', 'ref_p')} AS class_js, {_sql_js('w', 'ref_w')} AS word_js FROM m LEFT JOIN r2 USING (lang))
+d2 AS (SELECT m.*, pow({_sql_js('p', 'ref_p')}, 2) * word_chars AS ct, pow({_sql_js('w', 'ref_w')}, 2) * n_words AS wt FROM m LEFT JOIN r2 USING (lang)),
+ok AS (SELECT * FROM d2 WHERE NOT base_failed),
+lim AS (SELECT c.lang, {_sql_level("cm", "cl")} AS class_level, {_sql_level("wm", "wl")} AS word_level
+  FROM {_sql_quantiles("ok", _sql_bin("ct"), {"cm": 0.5, "cl": 0.1})} c LEFT JOIN {_sql_quantiles("ok", _sql_bin("wt"), {"wm": 0.5, "wl": 0.1})} w ON c.lang = w.lang),
+v AS (SELECT d2.*, coalesce(ct > {CLASS_FLOOR} * {CLASS_FLOOR} * word_chars + class_level, FALSE) AS class_far,
+  coalesce(wt > {WORD_FLOOR} * {WORD_FLOOR} * n_words + word_level, FALSE) AS word_far FROM d2 LEFT JOIN lim USING (lang))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(class_js > {CLASS_LIMIT} + {NOISE} * sqrt({len(CLASSES)}.0 / word_chars), FALSE)
-    AND NOT coalesce(word_js > {WORD_LIMIT} + {NOISE} * sqrt({N_COMMON + 1}.0 / n_words), FALSE) AS kept
-FROM d2
+  NOT base_failed AND NOT class_far AND NOT word_far AS kept, class_far, word_far
+FROM v
 """
