@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest number of slim rows (a key and a few numbers) that is sent to every executor.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -42,6 +42,11 @@ def with_python(spark: SparkSession) -> None:
 _scratch: list[list[str]] = []
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete on leaving what ``cut`` and ``written`` made inside; results must have been written by then."""
@@ -49,10 +54,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        jvm = spark.sparkContext._jvm
         for folder in _scratch.pop():
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            drop_folder(spark, folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
