@@ -68,6 +68,69 @@ def test_divergence_keeps_prose_and_rejects_junk(spark):
     assert divergence.divergence_rules(d.limit(0)).count() == 0
 
 
+def brute_divergence(rows):
+    """(id, class_far, word_far, kept) by plain loops."""
+    def js2(p, q):
+        m = (p + q) / 2
+        part = lambda x: sum(a * np.log2(a / b) for a, b in zip(x, m) if a > 0)
+        return (part(p) + part(q)) / 2
+
+    def quantile(values, q):
+        return sorted(values)[max(0, int(np.ceil(q * len(values) - 1e-9)) - 1)]
+
+    found = []
+    for i, t, lang in rows:
+        t, lang = t or "", lang or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        kinds = [r"[a-z]", r"[A-Z]", r"[0-9]", r"[\x20\x09-\x0D]", r"[#*$%&|<>]", r"[^\x00-\x7F]"]
+        n = [len(re.findall(k, t)) for k in kinds]
+        n = [*n[:5], len(t) - sum(n), n[5]]
+        words = [x.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~").lower() for x in w if len(x.encode()) < 16]
+        common = [words.count(c) for c in COMMON[lang]] if lang in COMMON else None
+        failed = len(w) < 50 or 100 * brute_counts(t)[4] > 50 * len(w)
+        p = np.array(n) / len(t) if t else None
+        q = np.array([*common, len(w) - sum(common)]) / len(w) if w and common else None
+        found.append([i, lang, failed, p, q, sum(map(len, w)), len(w)])
+    out = []
+    for lang in {f[1] for f in found}:
+        own = [f for f in found if f[1] == lang]
+        good = [f for f in own if not f[2]]
+        if len(good) < 20:
+            out += [(f[0], False, False, not f[2]) for f in own]
+            continue
+        ref = np.mean([f[3] for f in good], axis=0)
+        steps = [int(np.sqrt(js2(f[3], ref)) * divergence.STEPS) for f in good]
+        near = [f for f, d in zip(good, steps) if d <= quantile(steps, 0.5)]
+        rp, rw = np.mean([f[3] for f in near], axis=0), np.mean([f[4] for f in near], axis=0) if lang in COMMON else None
+
+        def level(ts):
+            edge = [2 ** ((np.floor(np.log2(max(quantile(ts, q), 1e-9)) * divergence.OCTAVE) + 1) / divergence.OCTAVE) for q in (0.5, 0.1)]
+            return edge[0] + divergence.Z / divergence.TENTH * (edge[0] - edge[1])
+
+        ct = lambda f: js2(f[3], rp) * f[5]
+        wt = lambda f: js2(f[4], rw) * f[6]
+        cl, wl = level([ct(f) for f in good]), level([wt(f) for f in good]) if lang in COMMON else None
+        for f in own:
+            far = [f[3] is not None and ct(f) > divergence.CLASS_FLOOR**2 * f[5] + cl, f[4] is not None and wt(f) > divergence.WORD_FLOOR**2 * f[6] + wl]
+            out.append((f[0], bool(far[0]), bool(far[1]), not f[2] and not any(far)))
+    return out
+
+
+def test_divergence_equals_plain_loops_and_finds_wrong_languages(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, lang, rng.randint(30, 260)), lang) for i in range(240) for lang in [rng.choice(["en", "de", "fr", "es"])]]
+    rows += [(300 + i, prose(rng, a, 400), b) for i, (a, b) in enumerate([("de", "en"), ("en", "de"), ("fr", "es"), ("es", "fr"), ("de", "fr"), ("fr", "en")])]
+    rows += [(400 + i, prose(rng, "en", 200).upper(), "en") for i in range(5)] + [(500, None, "en"), (501, "", None), (502, prose(rng, "en", 90), "xx"), (None, rows[0][1], rows[0][2]), rows[1]]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("p", F.lit(1)).withColumn("middle", F.lit("x"))
+    got = [(r["doc_id"], r["class_far"], r["word_far"], r["kept"]) for r in divergence.divergence_rules(d).collect()]
+    assert sorted(got, key=str) == sorted(brute_divergence(rows), key=str)
+    by = {r[0]: r[1:] for r in got}
+    assert all(by[300 + i][1] and not by[300 + i][2] for i in range(6))  # the words tell a wrong language
+    assert not any(by[400 + i][2] for i in range(5))
+    clean = [r for r in got if r[0] is not None and r[0] < 240 and len(rows[r[0]][1].split()) >= 50]
+    assert sum(r[3] for r in clean) >= 0.98 * len(clean)
+
+
 def test_js_distance_equals_numpy(spark):
     p, q = [0.5, 0.5, 0.0], [0.1, 0.2, 0.7]
     arr = lambda x: F.array(*map(F.lit, x))
@@ -94,6 +157,57 @@ def test_quality_held_out_accuracy_and_edges(spark):
     assert quality.classify(d.limit(0), labels).count() == 0
 
 
+def test_quality_scores_equal_plain_sums(spark):
+    rng = random.Random(13)
+    rows = corpus(rng, 300) + [(None, prose(rng, "en", 50), None, None, 1), (900, "x", None, "src1", 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, good int").withColumn("hn", F.lit(1)).withColumn("score", F.lit("x"))
+    labels = d.filter("doc_id % 2 = 0").select("doc_id", F.col("good").alias("quality"))
+    got = quality.classify(d, labels).collect()
+    at = {r["doc_id"]: r["p_doc"] for r in got}
+    host, path = {}, {}
+    for i, _, lang, src, _ in rows:
+        host.setdefault(src or "", []).append(at[i])
+        path.setdefault((src or "", lang or ""), []).append(at[i])
+    every = list(at.values())
+    rate = (sum(every) + 1) / (len(every) + 2)
+
+    def strength(groups):
+        """Groups (n, sum, target): variance between them over that of single documents."""
+        between = sum(n * ((s / n - t) ** 2 - t * (1 - t) / n) for n, s, t in groups)
+        return 1 / min(0.5, max(1e-4, between / sum(n * t * (1 - t) for n, _, t in groups))) - 1
+
+    k_host = strength([(len(v), sum(v), rate) for v in host.values()])
+    host_rate = {h: (sum(v) + k_host * rate) / (len(v) + k_host) for h, v in host.items()}
+    k_path = strength([(len(v), sum(v), host_rate[p[0]]) for p, v in path.items()])
+    logit = lambda p: np.log(p / (1 - p))
+    where = {i: (src or "", lang or "") for i, _, lang, src, _ in rows}
+    for r in got:
+        p, v = where[r["doc_id"]], path[where[r["doc_id"]]]
+        path_rate = min(1 - 1e-6, max(1e-6, (sum(v) - r["p_doc"] + k_path * host_rate[p[0]]) / (len(v) - 1 + k_path)))
+        score = 1 / (1 + np.exp(-(logit(r["p_doc"]) + quality.PATH_WEIGHT * (logit(path_rate) - logit(rate)))))
+        assert (r["host_rate"], r["path_rate"]) == pytest.approx((host_rate[p[0]], path_rate), rel=1e-6)
+        assert r["score"] == pytest.approx(score, rel=1e-5) and r["kept"] == (r["score"] >= quality.MIN_SCORE)
+
+
+def test_the_fit_is_at_a_standstill():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 5)) * [1, 5, 0.1, 2, 1] + 3
+    y = (x @ [1, -0.2, 3, 0, 0] + rng.normal(size=400) > 11.4).astype(float)
+    b, w = quality.fit_logistic(x, y)
+    mean, std = x.mean(axis=0), x.std(axis=0) + 1e-9
+    p = 1 / (1 + np.exp(-(b + x @ w)))
+    z = (x - mean) / std
+    assert abs((y - p).sum()) < 1e-4 and np.abs(z.T @ (y - p) - w * std).max() < 1e-4  # the ridge's gradient
+
+
+def test_very_long_texts_have_features(spark):
+    d = spark.createDataFrame([(1, "word " * 400_000, "en", "a"), (2, "x" * 2_000_000, "en", "a"), (3, "\n" * 300_000, None, None)], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    assert quality.classify(d, labels).count() == 3
+    by = {r["doc_id"]: r for r in divergence.divergence_rules(d).collect()}
+    assert by[1]["n_words"] == by[1]["n_repeat_words"] == 400_000 and by[2]["word_chars"] == 2_000_000 and by[3]["n_words"] == 0
+
+
 def test_sparse_hosts_shrink_toward_the_global_rate(spark):
     groups = spark.createDataFrame([(1000, 900.0), (1000, 500.0), (2, 2.0)], "n long, s double")
     strong = quality.prior_strength(groups, F.lit(0.7))
@@ -180,8 +294,12 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch):
             docs.append((len(docs), " ".join(edited)))
     docs += [(500, docs[0][1]), (501, docs[0][1].upper()), (502, None), (503, ""), (504, "..."), (505, "two words"), (506, "Two, words!"), (0, docs[0][1])]
     docs += [(600, " ".join(f"t{i}" for i in range(30_000))), (601, " ".join(f"t{i}" for i in range(30_050)))]
-    sets = {i: set(jaccard.shingles(t or "").tolist()) for i, t in docs}
-    links, parent = Counter(), {i: i for i in sets}
+    docs += [(700, "snake_case is two words, é-à too"), (701, "SNAKE case, IS two_words; É à TOO"), (None, docs[3][1] + " null")]
+    sets = {}
+    for i, t in docs:  # shingled here anew
+        w = re.findall(r"[^\W_]+", (t or "").lower())
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    links, parent, first = Counter(), {i: i for i in sets}, lambda i: -1 if i is None else i
 
     def find(x):
         while parent[x] != x:
@@ -190,11 +308,11 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch):
 
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            if first(a) < first(b) and sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
                 links[a] += 1
                 links[b] += 1
-                x, y = find(a), find(b)
-                parent[max(x, y)] = min(x, y)
+                x, y = sorted((find(a), find(b)), key=first)
+                parent[y] = x
     d = spark.createDataFrame(docs, DOCS).withColumn("home", F.lit(1)).withColumn("bands", F.lit(2))
     for blocks in (128, 2):  # blocks of two sets: most pairs meet across blocks
         monkeypatch.setattr(jaccard, "BLOCK_SETS", blocks)
@@ -209,6 +327,38 @@ def test_bands_reach_the_recall():
     assert 1 - (1 - 0.8**5) ** b >= 0.999 > 1 - (1 - 0.8**5) ** (b - 1)
 
 
+def test_overlaps_at_the_threshold_are_links():
+    """Whole numbers decide: 4 of 5 is a link, and one shingle in a million less isn't."""
+    def row(sid, ids):
+        return {"sid": sid, "weight": 1, "homes": [1], "blk": 0, "sh": np.array(sorted(ids), dtype=np.uint64).tobytes()}
+
+    for size in (5, 1_000_000):
+        a, four = range(size), size * 4 // 5
+        assert jaccard.linked([row(1, a), row(2, range(four))], 1, 0, 0, 0.8) == [(1, 1, 1), (2, 1, 1)]
+        assert jaccard.linked([row(1, a), row(2, range(four - 1))], 1, 0, 0, 0.8) == []
+
+
+def test_sharding_equals_scores_by_hand(spark):
+    import math
+    import struct
+
+    import xxhash
+
+    def draw(key, shard):
+        seed = 42
+        for kind, v in (("<q", key), ("<i", shard)):
+            if v is not None:  # Spark's hash passes over nulls
+                seed = xxhash.xxh64_intdigest(struct.pack(kind, v), seed)
+        return -1 / math.log(((seed >> 11) + 0.5) / 2**53)
+
+    docs = [(i * 7919 - 5000, "x") for i in range(1500)] + [(None, "null id"), (None, None)]
+    weights = [1.0, 2.5, 0.5, 1.0, 4.0]
+    for r in sharding.shard_rows(spark.createDataFrame(docs, DOCS), weights, grown_weight=3.0).collect():
+        scores = [w * draw(r["doc_id"], k) for k, w in enumerate(weights)]
+        best = max(range(5), key=lambda k: (scores[k], k))
+        assert r["shard"] == best and r["grown_shard"] == (5 if 3.0 * draw(r["doc_id"], 5) > scores[best] else best)
+
+
 def test_sharding_laws(spark):
     docs = [(i, "é" * (i % 9)) for i in range(4000)] + [(7, "again")] * 500 + [(None, None)] * 300
     d = spark.createDataFrame(docs, DOCS).withColumn("shard", F.lit(1)).withColumn("block", F.lit("x"))
@@ -226,33 +376,3 @@ def test_sharding_laws(spark):
     grown = {r["doc_id"]: r["shard"] for r in sharding.shard_rows(d, [1.0] * 9 + [3.0, 1.0]).collect()}
     assert grown == {k: v[1] for k, v in at.items()}
     assert sharding.shard_rows(d.limit(0), [1.0] * 3).count() == 0
-
-
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    before = {r["doc_id"]: r for r in docs.collect()}
-    out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, sf).collect()}
-    assert 0 < len(out) <= len(before) and set(out) <= set(before)
-    tok = ENC.tok
-    assert all(tok.decode(r["ids"], skip_special_tokens=False) is not None and len(r["ids"]) == r["n_tokens"] for r in out.values())
-    bad = docs.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("quality = 0").collect()
-    assert sum(r["doc_id"] in out for r in bad) <= 0.1 * len(bad)
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "BPE encoding and decoding"]
-
-
-def test_pipeline_stages_with_nulls_and_repeated_rows(spark):
-    import corpus_pipeline
-
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(30)
-    odd = spark.createDataFrame([(None, None, None, None, None), (-1, "", "en", None, 0)], docs.schema)
-    docs = docs.unionByName(docs.limit(5)).unionByName(odd)
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, sf)
-        assert out.count() <= docs.count(), name
-        assert name.startswith("BPE") or out.columns == docs.columns, name
-    once = corpus_pipeline.near_duplicate_join(spark, docs, sf)
-    assert once.count() == once.select("doc_id", "text").distinct().count()

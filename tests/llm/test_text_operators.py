@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from sedimenta.llm import decontam, license_scan, line_dedup, pii, secrets
@@ -265,6 +267,32 @@ def test_terms_far_from_an_entity_of_one_document_are_generalised(spark):
     assert found == {500: ["Zoltan", "zoltan"], 501: ["and", "Pelikan"], 502: ["pelikan"], 504: []}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_terms_equal_brute_force_over_random_corpora(spark, seed):
+    rng = random.Random(seed)
+    vocab = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    entities = ["a.b@mail.example.com", "c.d@mail.example.com", "10.0.0.1", "+1 555 010 9999", "4539578763621486"]
+    docs = []
+    for i in range(120):
+        words = [rng.choice(vocab[: rng.choice([5, 60])]) for _ in range(rng.randint(0, 40))]
+        words += rng.sample(entities, rng.choice([0, 0, 0, 1, 2]))
+        rng.shuffle(words)
+        docs.append((i, " ".join(words)))
+    docs += [docs[7], docs[7], docs[30], (200, None), (201, ""), (None, docs[31][1])]  # a row counts as often as it is listed
+    every = [pii.words(t or "") for _, t in docs]
+    held = [{pii._value(k, t[a:b]) for k, a, b in brute_pii(t)} if t else set() for _, t in docs]
+    n_e, n_t, n_te = Counter(e for h in held for e in h), Counter(w for s in every for w in s), Counter((e, w) for h, s in zip(held, every) for e in h for w in s)
+    told = {(e, w) for (e, w), k in n_te.items() for p in [n_e[e] / len(docs)] if math.log((k + p * pii.PRIOR) / (n_t[w] + pii.PRIOR) / p) >= -pii.ALPHA * math.log(p)}
+    want = []
+    for (i, t), h in zip(docs, held):
+        base = brute_pii(t) if t else []
+        mine = {w for e, w in told if e in h}
+        terms = [m.span() for m in re.finditer(r"[^\W\d_]{2,}", t or "") if m[0].lower() in mine and not any(a < m.end() and m.start() < b for _, a, b in base)]
+        want.append((i, sorted([*base, *((4, a, b) for a, b in terms)])))
+    got = [(r["_id"], [(x["kind"], x["s"], x["e"]) for x in r["spans"]]) for r in pii.sanitise_scan(spark.createDataFrame(docs, DOCS).withColumn("told", F.lit(1))).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and any(x[0] == 4 for _, s in got for x in s)
+
+
 def test_terms_arise_on_the_real_table(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     row = pii.sanitise_scan(d).select(F.size(F.filter("spans", lambda x: x["kind"] == 4)).alias("n"), F.size("base").alias("base")).agg(
@@ -328,6 +356,51 @@ def test_license_runs_equal_all_windows():
             assert all(any(i < y and x < j for x, y, _, _ in got) for (i, j), d in dice.items() if d >= 0.8)
 
 
+def test_license_scan_equals_all_candidates():
+    few = {k: license_scan.TEMPLATES[k] for k in ("MIT", "GPL-3.0", "CC-BY-4.0", "BSD-3-Clause")}
+    m = license_scan.Matcher(few, 0.8)
+    rng = random.Random(18)
+    every = [w for t in few.values() for w in license_scan.normalised(t)] + ["other", "words"]
+    for _ in range(200):
+        lines = []
+        for _ in range(rng.randint(1, 9)):
+            t = rng.choice([*few.values(), "", "plain text here", " ".join(rng.choices(every, k=5))])
+            words = [rng.choice(every) if rng.random() < 0.08 else w for w in t.split(" ")]
+            lines += " ".join(words).replace(" License", "\nLicense" if rng.random() < 0.2 else " License").split("\n")
+        rows = [re.findall("[a-z0-9]+", x.lower()) for x in lines]
+        first = [sum(map(len, rows[:i])) for i in range(len(rows) + 1)]
+        words = [w for r in rows for w in r]
+        blocks, at = [], None
+        for i, r in enumerate([*rows, []]):
+            at = i if r and at is None else at
+            if not r and at is not None:
+                blocks.append((at, i))
+                at = None
+        spans = {(first[a], first[b]) for a, b in [*((i, i + 1) for i in range(len(rows))), *blocks, (0, len(rows))]}
+        found = list(m.runs(words))
+        for a, b in spans:
+            grams = set(zip(words[a:b], words[a + 1 : b]))
+            best = [(-2 * len(grams & t) / (len(grams) + len(t)), k) for k, t in m.templates.items()] if grams else []
+            if best and -min(best)[0] >= 0.8:
+                found.append((a, b, min(best)[1], -min(best)[0]))
+        line, taken, want = [i for i, r in enumerate(rows) for _ in r], set(), []
+        for a, b, k, d in sorted(found, key=lambda x: (-x[3], x[0], -x[1], x[2])):
+            if not taken & set(range(a, b)):
+                taken |= set(range(a, b))
+                want.append((a, b, k, d))
+        assert m.scan("\n".join(lines)) == [(line[a], line[b - 1] + 1, k, d) for a, b, k, d in sorted(want)]
+
+
+def test_texts_of_very_many_spans_take_linear_time():
+    began = time.time()
+    text = " ".join(f"user{i}@mail{i}.example.com" for i in range(20_000))
+    spans = pii.base_spans(text)
+    assert len(spans) == 20_000 and pii.term_spans(text + " word", [x[1:] for x in spans], {"word"}) == [(len(text) + 1, len(text) + 5)]
+    notices = "\n".join(["Released under the MIT License."] * 5_000)
+    assert len(license_scan.Matcher(license_scan.TEMPLATES, 0.8).scan(notices)) == 5_000
+    assert time.time() - began < 60
+
+
 def test_digests_of_the_query(spark):
     d = spark.createDataFrame([("x",)], "a string").select(F.sha2(F.lit("").cast("binary"), 256).alias("s")).first()["s"]
     assert d == hashlib.sha256(b"").hexdigest()
