@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.llm.bpe import default_tokenizer, encode_documents
-from sedimenta.llm.common import checkpoint_dir, key_join, keyed
+from sedimenta.llm.common import checkpoint_dir, drop_folder, key_join, keyed, scratch
 from sedimenta.llm.decontam import clean
 from sedimenta.llm.jaccard import near_duplicates
 from sedimenta.llm.line_dedup import dedup_lines
@@ -80,7 +80,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{k}")
+        with scratch(spark):  # what a stage wrote for itself goes once its rows are written
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            drop_folder(spark, f"{folder}/{k - 1}")
     return docs
