@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +43,17 @@ def encode_int(c: Column) -> Column:
 
 @F.pandas_udf(T.BinaryType())
 def encode_double(v: pd.Series) -> pd.Series:
-    return v.map(lambda x: None if pd.isna(x) else bytes([TAGS["double"]]) + struct.pack("<d", x))
+    raw, tag = v.to_numpy("<f8", na_value=np.nan).tobytes(), bytes([TAGS["double"]])
+    out = pd.Series([tag + raw[i : i + 8] for i in range(0, len(raw), 8)], index=v.index, dtype=object)
+    return out.where(v.notna(), None)
+
+
+@F.pandas_udf(T.DoubleType())
+def _doubles(v: pd.Series) -> pd.Series:
+    good = v.map(lambda x: x is not None and len(x) == 8)
+    out = pd.Series([None] * len(v), index=v.index, dtype=object)
+    out[good] = np.frombuffer(b"".join(v[good]), "<f8").tolist()
+    return out
 
 
 def encode_list(c: Column) -> Column:
@@ -92,6 +103,46 @@ def decode_int(value: Column) -> Column:
     return _expect(value, "int", signed.cast("long"))
 
 
+def decode_double(value: Column) -> Column:
+    return _expect(value, "double", _doubles(_payload(value)))
+
+
+def _width(hexed: Column) -> Column:
+    """A count of four bytes, the lowest first, from its hex form."""
+    pairs = F.regexp_extract_all(hexed, F.lit(".."), F.lit(0))
+    return F.conv(F.array_join(F.reverse(pairs), ""), 16, 10).cast("long")
+
+
+def _bound(c: Column, use) -> Column:
+    """``use(c)`` with ``c`` evaluated once."""
+    return F.transform(F.array(c), use)[0]
+
+
+def decode_list(value: Column) -> Column:
+    """Strings of a list; counts that point beyond its bytes are an error, as is what is left over."""
+
+    def items(body: Column) -> Column:
+        n, size = _width(F.substring(body, 1, 8)), F.length(body)
+        start = F.struct(F.lit(9).cast("long").alias("at"), F.array().cast("array<string>").alias("items"))
+
+        def step(a: Column, _: Column) -> Column:
+            def taken(width: Column) -> Column:
+                begin = a["at"] + 8
+                item = F.decode(F.unhex(F.substring(body, begin.cast("int"), (2 * width).cast("int"))), "UTF-8")
+                ok = (begin - 1 + 2 * width <= size) & (a["at"] > 0)
+                return F.when(ok, F.struct((begin + 2 * width).alias("at"), F.concat(a["items"], F.array(item)).alias("items")))
+
+            return F.coalesce(_bound(_width(F.substring(body, a["at"].cast("int"), F.lit(8))), taken), F.struct(F.lit(-1).cast("long").alias("at"), a["items"].alias("items")))
+
+        # a count can't be larger than the bytes there are
+        rounds = F.when((n > 0) & (8 * n <= size), F.sequence(F.lit(1).cast("long"), n)).otherwise(F.array().cast("array<long>"))
+        whole = lambda done: F.when((done["at"] == size + 1) & (F.size(done["items"]) == n), done["items"])
+        return _bound(F.aggregate(rounds, start, step), whole)
+
+    found = _bound(_bound(F.hex(_payload(value)), items), lambda x: F.coalesce(x, F.raise_error(F.lit("truncated list")).cast("array<string>")))
+    return _expect(value, "stringList", found)
+
+
 def decode_value(raw: bytes | None):
     """A stored value as a Python object, with bounds checked."""
     if raw is None:
@@ -123,6 +174,13 @@ def decode_value(raw: bytes | None):
     raise ValueError("not a stored value")
 
 
+def name_of(raw: bytes) -> str:
+    """Name of a stored value's type."""
+    if not raw or raw[0] not in _NAMES:
+        raise ValueError("not a stored value")
+    return _NAMES[raw[0]]
+
+
 def encode_value(v) -> bytes:
     """A Python object as a stored value (driver side, for single writes)."""
     if isinstance(v, bool):
@@ -168,3 +226,22 @@ def decrypt_page(sealed: Column, key: Column, page_id: Column, version: Column)
     hexed = lambda c: F.lpad(F.hex(c.cast("long")), 16, "0")
     nonce = F.unhex(F.concat(F.substring(hexed(page_id), 1, 16), F.substring(hexed(version), 9, 8)))
     return F.try_aes_decrypt(F.concat(nonce, sealed), key, F.lit("GCM"), F.lit("DEFAULT"), F.unhex(hexed(page_id)))
+
+
+def crc32(*parts: Column) -> Column:
+    """CRC-32 of a page, a record or a frame, whose parts follow one another."""
+    return F.crc32(F.concat(*parts))
+
+
+def nonce_reuse(writes: DataFrame, page: str = "page_id", version: str = "version", at: str = "seq") -> DataFrame:
+    """Writes whose version isn't above every earlier one of the same page: their nonce may have been used."""
+    before = F.max(version).over(Window.partitionBy(page).orderBy(at).rowsBetween(Window.unboundedPreceding, -1))
+    return writes.withColumn("_before", before).filter(F.col("_before") >= F.col(version)).drop("_before")
+
+
+def utf8_key(c: Column) -> Column:
+    return F.encode(c, "UTF-8")
+
+
+def utf8_text(c: Column) -> Column:
+    return F.decode(c, "UTF-8")

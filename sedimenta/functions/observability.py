@@ -83,8 +83,76 @@ def ring(spans: DataFrame, capacity: int, seq: str = "seq") -> DataFrame:
 
 
 def prometheus(metrics: DataFrame) -> DataFrame:
-    """Lines (name, value) of a text report, in order of names."""
-    return metrics.orderBy("name").select(F.format_string("%s %s", "name", F.col("value").cast("string")).alias("line"))
+    """Lines of a text report of (name, kind, help, value), in order of names: help, type and value of each."""
+    value = F.when(F.col("kind") == "counter", F.col("value").cast("long").cast("string")).otherwise(F.col("value").cast("string"))
+    lines = F.array(F.format_string("# HELP %s %s", "name", "help"), F.format_string("# TYPE %s %s", "name", "kind"), F.concat_ws(" ", "name", value))
+    return metrics.orderBy("name").select(F.explode(lines).alias("line"))
+
+
+class Timer:
+    """Microseconds of a block on the driver, added to a list."""
+
+    def __init__(self, into: list[int]):
+        self.into = into
+
+    def __enter__(self) -> Timer:
+        self.began = time.perf_counter_ns()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.into.append((time.perf_counter_ns() - self.began) // 1000)
+
+
+METRIC = "name string, kind string, help string, value double"
+
+
+class EngineMetrics:
+    """Counters, gauges and latencies of an engine on the driver; as frames they are summed and summarised like others."""
+
+    COUNTERS = {
+        "wal_fsyncs": "log syncs", "wal_bytes": "log bytes written", "cache_hits": "reads served from the cache",
+        "cache_misses": "reads that weren't", "cache_evictions": "pages evicted", "flushes": "buffers flushed", "compactions": "merges run",
+        "compaction_bytes_in": "bytes that merges read", "compaction_bytes_out": "bytes that merges wrote", "txn_commits": "commits",
+        "txn_rollbacks": "rollbacks", "txn_conflicts": "write conflicts", "reads": "point reads", "writes": "writes",
+    }
+    GAUGES = {"cache_resident_pages": "pages in the cache", "runs": "live runs"}
+    LATENCIES = ["wal_fsync_us", "compaction_us", "txn_commit_us", "read_us"]
+
+    def __init__(self):
+        self.counters = dict.fromkeys(self.COUNTERS, 0)
+        self.gauges = dict.fromkeys(self.GAUGES, 0)
+        self.samples: dict[str, list[int]] = {n: [] for n in self.LATENCIES}
+
+    def add(self, name: str, n: int = 1) -> None:
+        if n < 0:
+            raise ValueError("a counter only grows")
+        self.counters[name] += n
+
+    def move(self, name: str, by: int) -> None:
+        """A gauge doesn't go below 0."""
+        self.gauges[name] = max(0, self.gauges[name] + by)
+
+    def time(self, name: str) -> Timer:
+        return Timer(self.samples[name])
+
+    def latencies(self, spark: SparkSession) -> DataFrame:
+        """(metric, q, quantile) of every latency that has samples."""
+        rows = [(n, v) for n, vs in self.samples.items() for v in vs]
+        return quantiles(spark.createDataFrame(rows, "metric string, micros long"), [0.5, 0.99, 0.999], "micros", "metric")
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """(name, kind, help, value), with the ratios of hits and of bytes written to bytes read."""
+        c = self.counters
+        rows = [(f"{n}_total", "counter", h, float(c[n])) for n, h in self.COUNTERS.items()]
+        rows += [(n, "gauge", h, float(self.gauges[n])) for n, h in self.GAUGES.items()]
+        tried, read = c["cache_hits"] + c["cache_misses"], c["compaction_bytes_in"]
+        rows.append(("cache_hit_ratio", "gauge", "hits among reads", c["cache_hits"] / tried if tried else 0.0))
+        rows.append(("write_amplification", "gauge", "bytes written by merges to bytes read", c["compaction_bytes_out"] / read if read else 1.0))
+        return spark.createDataFrame(rows, METRIC)
+
+    def report(self) -> str:
+        """A line for people for each counter and gauge."""
+        return "\n".join(f"{n} {v}" for n, v in [*self.counters.items(), *self.gauges.items()])
 
 
 SPAN = "seq long, trace_id long, span_id long, parent_id long, name string, duration_us long, attributes array<struct<k:string,v:string>>, error boolean"

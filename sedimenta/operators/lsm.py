@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sedimenta.operators import versions
 
 LEVELS, TRIGGER, BASE_BYTES, MULTIPLIER = 7, 4, 8 * 1024 * 1024, 10
 ENTRY_OVERHEAD = 64
@@ -46,8 +49,9 @@ def pick_compaction(tables: DataFrame) -> DataFrame:
     """Input tables of the next compaction: all of level 0 or the largest of its level, and what they meet below."""
     level = F.broadcast(pick_level(tables).select(F.col("level").alias("from_level")))  # one row
     at = tables.join(level, F.col("level") == F.col("from_level"))
-    largest = F.row_number().over(Window.partitionBy("level").orderBy(F.col("bytes").desc(), "id"))
-    sources = at.withColumn("rn", largest).filter((F.col("level") == 0) | (F.col("rn") == 1)).drop("rn")
+    # the largest of the level by a top-1, as all tables of a level are in one place for a window
+    largest = at.filter("level > 0").orderBy(F.col("bytes").desc(), "id").limit(1)
+    sources = at.filter("level = 0").unionByName(largest)
     span = F.broadcast(sources.groupBy("from_level").agg(F.min("min_key").alias("lo"), F.max("max_key").alias("hi")))  # one row
     met = tables.join(span, (F.col("level") == F.col("from_level") + 1) & (F.col("min_key") <= F.col("hi")) & (F.col("max_key") >= F.col("lo")))
     names = ["id", "level", "min_key", "max_key", "bytes"]
@@ -87,6 +91,26 @@ def write_run(entries: DataFrame, path: str, partitions: int, bloom: bool = True
     out.parquet(path)
 
 
+def read_run(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The entries of a run in stored order: by key, newest first."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(path).orderBy("key", F.col("seqno").desc())
+
+
+def checksum(entries: DataFrame) -> int:
+    """A checksum of a run's entries that doesn't depend on their order."""
+    return entries.agg(F.bit_xor(F.xxhash64("key", "seqno", "value", "tombstone"))).first()[0] or 0
+
+
+def disorder(spark: SparkSession, path: str, schema: T.StructType | None = None) -> int:
+    """Entries of a written run that don't come after the one stored before them in their file."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    stored = reader.parquet(path).select(
+        F.struct("key", -F.col("seqno")).alias("k"), F.col("_metadata.file_path").alias("run"), F.col("_metadata.row_index").alias("pos")
+    )
+    return versions.out_of_order(stored, key="k").first()[0]
+
+
 def union_runs(runs: list[DataFrame]) -> DataFrame:
     """Runs in one frame, newest first, with ``run`` as their age."""
     return reduce(DataFrame.unionByName, [r.withColumn("run", F.lit(i)) for i, r in enumerate(runs)])

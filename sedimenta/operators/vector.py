@@ -1,8 +1,11 @@
 """k nearest neighbours under cosine, Euclidean and dot-product metrics; index lifecycle.
 
-Exact search by one query is a projection and a top-k, which Spark runs as partial heaps. A
-batch of queries goes through Arrow and a matrix product per batch of vectors; each batch gives
-its k best per query, so what meets is k rows per query and batch, not a row per pair.
+Exact search by one query is a projection and a top-k, which Spark runs as partial heaps. A batch of queries
+goes through Arrow and a matrix product per batch of vectors, in one scan of the vectors: queries within a checked
+size are sent to every task, which keeps its k best for each, so what meets is k rows per query and task, not a row
+per pair. More queries are dealt out in blocks that meet blocks of vectors.
+
+A vector that is null, of another length than the query or not finite can't be inserted, and is nobody's neighbour.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from sedimenta.sources.folders import with_python
 
 MAX_DIM, MAX_K, MAX_ID_BYTES, EXACT_LIMIT = 65_536, 4_096, 128, 512
 TINY = 1.1754943508222875e-38  # least normal number of single precision
+#: Bytes of queries that are sent to every task, and results that a task keeps, at most; queries compared at a time.
+QUERY_BYTES, KEPT_ROWS, QUERY_STEP = 64 * 1024 * 1024, 2_000_000, 256
 
 
 class Metric(IntEnum):
@@ -71,90 +76,163 @@ def check_query(query: list[float], dim: int | None, k: int) -> None:
         raise ValueError("a vector must be finite")
 
 
+def usable(v: Column, dim: int) -> Column:
+    """Whether a vector has this many finite numbers; never null."""
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce((F.size(v) == dim) & finite, F.lit(False))
+
+
 def valid(df: DataFrame, dim: int, id_col: str = "id", vector: str = "embedding") -> Column:
     """Whether a row can be inserted: id of 1 to 128 bytes, right length, finite numbers."""
     size = F.octet_length(F.col(id_col).cast("string"))
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce(size.between(1, MAX_ID_BYTES) & (F.size(vector) == dim) & finite, F.lit(False))
+    return F.coalesce(size.between(1, MAX_ID_BYTES), F.lit(False)) & usable(F.col(vector), dim)
 
 
 def knn(df: DataFrame, query: list[float], k: int, metric: Metric, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(id, distance, score) of the k nearest, ties by id. k = 0 gives none."""
     check_query(query, None, k)
     q = F.array(*[F.lit(float(x)) for x in query])
-    q_norm = F.lit(float(np.sqrt(max(0.0, sum(float(x) * float(x) for x in query)))))
-    ranked = df.select(id_col, ordering(metric, F.col(vector), q, norm_b=q_norm).alias("o")).orderBy("o", id_col).limit(k)
+    q_norm = F.lit(float(np.sqrt(np.cumsum(np.square(np.array(query, dtype=np.float64)))[-1])))  # summed from left to right
+    rows = df.filter(usable(F.col(vector), len(query)))
+    ranked = rows.select(id_col, ordering(metric, F.col(vector), q, norm_b=q_norm).alias("o")).orderBy("o", id_col).limit(k)
     d = finalize(metric, F.col("o"))
     return ranked.select(id_col, d.alias("distance"), score(metric, d).alias("score"))
 
 
-def knn_batch(df: DataFrame, queries: DataFrame, k: int, metric: Metric, id_col: str = "vec_id", vector: str = "embedding", query_block: int = 1_000, probed: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """(query_id, id, distance, score, rank) of every query of (query_id, query).
+def _matrix(v: pa.Array, dim: int) -> np.ndarray:
+    """Vectors of an Arrow list column without nulls as rows of a matrix."""
+    return v.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(v), dim)
 
-    Queries are stepped through in blocks of ``query_block`` held by each task, so memory is bounded by a block.
-    ``probed`` gives the lists that each query of a block looks into, over the column ``list``; without it all are.
-    """
 
-    def block(part: list, so_far: DataFrame | None) -> DataFrame:
-        wanted = None if probed is None else probed(np.array([r["query"] for r in part], dtype=np.float64).reshape(len(part), -1))
-        return _block(df, part, k, metric, id_col, vector, so_far, wanted)
+def _nearest(q: np.ndarray, x: np.ndarray, names: np.ndarray, k: int, metric: Metric, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, name, order) of the k best vectors of each query at least; with ``wanted`` (query, vector) of those only.
+
+    The matrix product only chooses: what may be among the k best within its rounding is measured by sums from left
+    to right, as the one-query form has them.
+    """
+    dim, k = q.shape[1], min(k, len(x))
+    eps = 8 * (dim + 2) * np.finfo(np.float64).eps
+    q2, x2 = (q * q).sum(axis=1), (x * x).sum(axis=1)
+    both = q @ x.T
+    if metric == Metric.L2:
+        o, off = q2[:, None] + x2[None, :] - 2 * both, eps * (q2[:, None] + x2[None, :])
+    elif metric == Metric.DOT:
+        o, off = -both, eps * np.sqrt(q2[:, None] * x2[None, :])
+    else:
+        n = np.sqrt(q2)[:, None] * np.sqrt(x2)[None, :]
+        zero = n <= TINY
+        o, off = np.where(zero, 1.0, 1 - np.clip(both / np.where(zero, 1.0, n), -1, 1)), np.full_like(both, eps)
+    if wanted is not None:
+        o = np.where(wanted, o, np.inf)
+    edge = np.partition(o + off, k - 1, axis=1)[:, k - 1]
+    qi, xi = np.nonzero((o - off <= edge[:, None]) & (o < np.inf))
+    out = np.empty(len(qi))
+    for at in range(0, len(qi), 100_000):
+        a, b = q[qi[at : at + 100_000]], x[xi[at : at + 100_000]]
+        if metric == Metric.L2:
+            out[at : at + 100_000] = np.cumsum((b - a) ** 2, axis=1)[:, -1]
+            continue
+        dots = np.cumsum(b * a, axis=1)[:, -1]
+        if metric == Metric.COSINE:
+            n = np.sqrt(np.cumsum(b * b, axis=1)[:, -1]) * np.sqrt(np.cumsum(a * a, axis=1)[:, -1])
+            dots = np.where(n <= TINY, 0.0, np.clip(dots / np.where(n <= TINY, 1.0, n), -1, 1)) - 1
+        out[at : at + 100_000] = -dots
+    return qi, names[xi], out
+
+
+def _best(qi: np.ndarray, names: np.ndarray, o: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k first of each query by order, then name."""
+    order = np.lexsort((names, o, qi))
+    qi, names, o = qi[order], names[order], o[order]
+    begin = np.searchsorted(qi, qi)
+    keep = np.arange(len(qi)) - begin < k
+    return qi[keep], names[keep], o[keep]
+
+
+Probed = Callable[[np.ndarray], np.ndarray]
+
+
+def knn_batch(df: DataFrame, queries: DataFrame, k: int, metric: Metric, id_col: str = "vec_id", vector: str = "embedding", query_block: int = 10_000, probed: Probed | None = None, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """(query_id, id, distance, score, rank) of every query of (query_id, query).
 
+    Queries of up to ``query_bytes`` are sent to every task of one scan; beyond that, blocks of ``query_block`` queries
+    meet blocks of vectors. All queries must have one length and be finite. ``probed`` gives the places (query, list) that
+    the lists have for the queries of a block, and whether they are looked into, over the column ``list``.
+    """
     check_query([0.0], None, k)
     with_python(df.sparkSession)
-    out = None
-    part: list = []
-    for r in queries.select("query_id", "query").toLocalIterator():
-        part.append(r)
-        if len(part) == query_block:
-            out = block(part, out)
-            part = []
-    if part or out is None:
-        out = block(part, out)
+    asked = queries.select("query_id", F.col("query").cast("array<double>").alias("query"))
+    n, least, most, bad = asked.agg(
+        F.count(F.lit(1)), F.min(F.coalesce(F.size("query"), F.lit(-1))), F.max(F.size("query")), F.count_if(~usable(F.col("query"), F.size("query")))
+    ).first()
+    if n and (bad or least != most or not 1 <= most <= MAX_DIM):
+        raise ValueError("queries must be finite and of one dimension")
+    dim = most or 1
+    kinds = {c: t for c, t in (("query_id", queries.schema["query_id"].dataType.simpleString()), (id_col, df.schema[id_col].dataType.simpleString()))}
+    lists = [] if probed is None else [F.col("list").alias("l")]
+    rows = df.filter(usable(F.col(vector), dim)).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), *lists)
+    schema = f"query_id {kinds['query_id']}, {id_col} {kinds[id_col]}, o double"
+    args = (k, metric, dim, probed, id_col)
+    if n * dim * 8 <= query_bytes:
+        run = _scan(asked.toArrow() if n else None, *args)
+        found = rows.mapInArrow(run, schema) if n and k else rows.sparkSession.createDataFrame([], schema)
+    else:
+        found = _blocks(rows, asked, n, query_block, schema, *args)
     place = Window.partitionBy("query_id").orderBy("o", id_col)
     d = finalize(metric, F.col("o"))
-    ranked = out.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
     return ranked.select("query_id", id_col, d.alias("distance"), score(metric, d).alias("score"), "rank")
 
 
-def _block(df: DataFrame, rows: list, k: int, metric: Metric, id_col: str, vector: str, so_far: DataFrame | None, probed: np.ndarray | None = None) -> DataFrame:
-    """Pairs that may be among the k best; with ``probed`` (query, list) only where a query probes a vector's list."""
-    ids = [r["query_id"] for r in rows]
-    q = np.array([r["query"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-    q_norm = np.sqrt((q * q).sum(axis=1))
-    kind = df.schema[id_col].dataType.simpleString()
+def _scan(asked: pa.Table | None, k: int, metric: Metric, dim: int, probed: Probed | None, id_col: str):
+    """One pass over batches of vectors, with the k best so far of every query."""
+    if asked is None:
+        return None
+    ids = asked.column("query_id").combine_chunks()
+    q = _matrix(asked.column("query").combine_chunks(), dim)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple] = []
+        looked = None if probed is None else probed(q)
+
+        def made(part: list[tuple]) -> pa.RecordBatch:
+            qi, names, o = (np.concatenate(c) for c in zip(*part))
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(qi)), pa.array(names), pa.array(o)], ["query_id", id_col, "o"])
+
         for batch in batches:
-            names = batch.column("id")
-            if not len(batch) or not ids or not k:
+            if not len(batch):
                 continue
-            x = np.array(batch.column("v").to_pylist(), dtype=np.float64)
-            both = q @ x.T
-            if metric == Metric.L2:
-                o = np.maximum(0, (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * both)
-            elif metric == Metric.DOT:
-                o = -both
-            else:
-                n = q_norm[:, None] * np.sqrt((x * x).sum(1))[None, :]
-                o = np.where(n <= TINY, 1.0, 1 - np.clip(both / np.where(n <= TINY, 1.0, n), -1, 1))
-            if probed is not None:
-                o = np.where(probed[:, batch.column("l").to_numpy()], o, np.inf)
-            # ties at the edge of the k best all go on, so that ids decide
-            edge = np.partition(o, min(k, o.shape[1]) - 1, axis=1)[:, min(k, o.shape[1]) - 1]
-            qi, xi = np.nonzero((o <= edge[:, None] + 1e-9) & (o < np.inf))
-            # the exact order is by sums from left to right, as the one-query form has them
-            a, b = q[qi], x[xi]
-            if metric == Metric.L2:
-                exact = np.cumsum((b - a) ** 2, axis=1)[:, -1]
-            elif metric == Metric.DOT:
-                exact = -np.cumsum(b * a, axis=1)[:, -1]
-            else:
-                exact = o[qi, xi]
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in qi], pa.int64()), names.take(pa.array(xi)), pa.array(exact)], ["query_id", id_col, "o"])
+            x, names = _matrix(batch.column("v"), dim), batch.column("id").to_numpy(zero_copy_only=False)
+            names = names.astype(str) if names.dtype == object else names
+            new = []
+            for at in range(0, len(q), QUERY_STEP):
+                wanted = None if looked is None else looked[at : at + QUERY_STEP][:, batch.column("l").to_numpy()]
+                qi, near, o = _nearest(q[at : at + QUERY_STEP], x, names, k, metric, wanted)
+                new.append(_best(qi + at, near, o, k))
+            if len(q) * k > KEPT_ROWS:  # more than a task should hold
+                yield made(new)
+                continue
+            kept = [_best(*(np.concatenate(c) for c in zip(*kept, *new)), k)]
+        if kept:
+            yield made(kept)
 
-    lists = [] if probed is None else [F.col("list").alias("l")]
-    found = df.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), *lists).mapInArrow(run, f"query_id bigint, {id_col} {kind}, o double")
-    return found if so_far is None else so_far.unionByName(found)
+    return run
+
+
+def _blocks(rows: DataFrame, asked: DataFrame, n: int, query_block: int, schema: str, k: int, metric: Metric, dim: int, probed: Probed | None, id_col: str) -> DataFrame:
+    """Blocks of queries against blocks of vectors: each vector is sent to every block of queries."""
+    parts = max(1, -(-n // query_block))
+    spread = max(1, rows.rdd.getNumPartitions())
+    left = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(parts))).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    right = rows.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = list(_scan(a.select(["query_id", "query"]), k, metric, dim, probed, id_col)(iter(b.combine_chunks().to_batches(max_chunksize=10_000)))) if len(a) and len(b) else []
+        none = pa.table([pa.array([], a.schema.field("query_id").type), pa.array([], b.schema.field("id").type), pa.array([], pa.float64())], ["query_id", id_col, "o"])
+        return pa.Table.from_batches(out) if out else none
+
+    left, right = left.withColumn("qb", F.col("qb").cast("long")), right.withColumn("qb", F.col("qb").cast("long"))
+    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(meet, schema)
 
 
 # lifecycle: a log of (id, embedding, ordinal, deleted), newest ordinal of an id counts
@@ -181,43 +259,83 @@ def compacted(log: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 class IvfIndex:
-    """Inverted lists around k-means centroids; ``probes`` nearest lists are searched exactly."""
+    """Inverted lists around k-means centroids; ``probes`` nearest lists are searched exactly.
+
+    Lists are made in a space whose Euclidean order is the metric's: unit vectors for the cosine, and for dot products
+    vectors with one more coordinate that brings all to the length of the longest. Up to ``EXACT_LIMIT`` vectors every list
+    is searched.
+    """
 
-    def __init__(self, centroids: np.ndarray, lists: DataFrame, id_col: str, vector: str):
-        self.centroids, self.lists, self.id_col, self.vector = centroids, lists, id_col, vector
+    def __init__(self, centroids: np.ndarray, lists: DataFrame, id_col: str, vector: str, metric: Metric, rows: int):
+        self.centroids, self.lists, self.id_col, self.vector, self.metric, self.rows = centroids, lists, id_col, vector, metric, rows
 
     @classmethod
-    def build(cls, df: DataFrame, lists: int, id_col: str = "vec_id", vector: str = "embedding", sample: int = 50_000, seed: int = 7) -> IvfIndex:
-        """Centroids are fitted on at most ``sample`` vectors (least hashes of ids); every vector is assigned."""
+    def build(cls, df: DataFrame, lists: int, id_col: str = "vec_id", vector: str = "embedding", sample: int = 50_000, seed: int = 7, metric: Metric = Metric.L2) -> IvfIndex:
+        """Centroids are fitted on about ``sample`` vectors (a share by hashes of ids); every usable vector is assigned."""
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
-        fit = df.orderBy(F.xxhash64(id_col), id_col).limit(sample).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-        model = KMeans(k=lists, seed=seed, maxIter=10).fit(fit)
+        with_python(df.sparkSession)
+        v = F.col(vector).cast("array<double>")
+        dim = (df.filter(F.size(vector) > 0).agg(F.mode(F.size(vector))).first()[0]) or 1
+        good = df.filter(usable(F.col(vector), dim))
+        rows, longest = good.agg(F.count(F.lit(1)), F.max(norm(v))).first()
+        if not rows:
+            return cls(np.zeros((1, dim + (metric == Metric.DOT))), good.withColumn("list", F.lit(0)), id_col, vector, metric, 0)
+        space = cls._space(metric, longest)
+        at = F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) < min(1.0, sample / rows) * 1_000_003
+        spaced = good.filter(at).select(v.alias("v")).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(list(space(_matrix(b.column("v"), dim))), pa.list_(pa.float64()))], ["v"]) for b in batches if len(b)), "v array<double>")
+        model = KMeans(k=lists, seed=seed, maxIter=10).fit(spaced.select(array_to_vector("v").alias("features")))
         centroids = np.array(model.clusterCenters())
-        return cls(centroids, df.withColumn("list", cls._nearest(centroids, F.col(vector))), id_col, vector)
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if len(b):
+                    x = space(_matrix(b.column("_v"), dim))
+                    near = ((centroids * centroids).sum(1)[None, :] - 2 * x @ centroids.T).argmin(axis=1)
+                    yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(near, pa.int32())], [*names, "list"])
+
+        names = [c for c in good.columns if c != "list"]
+        kinds = ", ".join(f"`{c}` {good.schema[c].dataType.simpleString()}" for c in names)
+        out = cls(centroids, good.select(*names, v.alias("_v")).mapInArrow(assign, f"{kinds}, list int"), id_col, vector, metric, rows)
+        return out
 
     @staticmethod
-    def _nearest(centroids: np.ndarray, v: Column) -> Column:
-        table = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centroids])
-        near = F.transform(table, lambda c, i: F.struct(squared_l2(v, c).alias("d"), i.alias("i")))
-        return F.array_min(near)["i"]
+    def _space(metric: Metric, longest: float) -> Callable[[np.ndarray], np.ndarray]:
+        def space(x: np.ndarray) -> np.ndarray:
+            if metric == Metric.L2:
+                return x
+            n2 = (x * x).sum(axis=1)
+            if metric == Metric.DOT:
+                return np.c_[x, np.sqrt(np.maximum(0.0, longest * longest - n2))]
+            n = np.sqrt(n2)[:, None]
+            return x / np.where(n <= TINY, 1.0, n)
 
-    def search(self, query: list[float], k: int, metric: Metric, probes: int) -> DataFrame:
-        d = ((self.centroids - np.array(query)) ** 2).sum(axis=1)
-        near = [int(i) for i in np.argsort(d, kind="stable")[:probes]]
-        return knn(self.lists.filter(F.col("list").isin(near)), query, k, metric, self.id_col, self.vector)
+        return space
 
     def ranks(self, queries: np.ndarray) -> np.ndarray:
         """(query, list): place of the list by the distance of its centroid, from 0."""
-        d = ((queries[:, None, :] - self.centroids[None, :, :]) ** 2).sum(axis=2)
+        if self.metric == Metric.DOT:  # a query's further coordinate is 0
+            queries = np.c_[queries, np.zeros(len(queries))]
+        elif self.metric == Metric.COSINE:
+            queries = self._space(Metric.COSINE, 0.0)(queries)
+        centroids = self.centroids
+        d = (centroids * centroids).sum(axis=1)[None, :] - 2 * queries @ centroids.T
         return np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1, kind="stable")
 
-    def search_batch(self, queries: DataFrame, k: int, metric: Metric, probes: int, query_block: int = 1_000) -> DataFrame:
+    def _probes(self, probes: int) -> int:
+        return len(self.centroids) if self.rows <= EXACT_LIMIT else probes
+
+    def search(self, query: list[float], k: int, probes: int) -> DataFrame:
+        near = np.flatnonzero(self.ranks(np.array([query], dtype=np.float64))[0] < self._probes(probes)).tolist()
+        return knn(self.lists.filter(F.col("list").isin(near)), query, k, self.metric, self.id_col, self.vector)
+
+    def search_batch(self, queries: DataFrame, k: int, probes: int, query_block: int = 10_000, query_bytes: int = QUERY_BYTES) -> DataFrame:
         """``knn_batch`` over the ``probes`` nearest lists of each query."""
-        return knn_batch(self.lists, queries, k, metric, self.id_col, self.vector, query_block, lambda q: self.ranks(q) < probes)
+        place, upto = Places(self.centroids, self.metric), self._probes(probes)
+        return knn_batch(self.lists, queries, k, self.metric, self.id_col, self.vector, query_block, lambda q: place.ranks(q) < upto, query_bytes)
 
-    def probes_for(self, queries: DataFrame, k: int, metric: Metric, target: float = 0.95, sample: int = 200) -> int:
+    def probes_for(self, queries: DataFrame, k: int, target: float = 0.95, sample: int = 200) -> int:
         """Least number of lists whose measured recall reaches ``target``, over ``sample`` queries (least hashes of ids).
 
         The exact neighbours of those queries are sought, and the places of the lists that hold them counted.
@@ -228,25 +346,32 @@ class IvfIndex:
             return len(self.centroids)
         asked = {r["query_id"]: i for i, r in enumerate(rows)}
         places = self.ranks(np.array([r["query"] for r in rows], dtype=np.float64))
-        best = knn_batch(self.lists, some, k, metric, self.id_col, self.vector).select("query_id", self.id_col)
+        best = knn_batch(self.lists, some, k, self.metric, self.id_col, self.vector).select("query_id", self.id_col)
         exact = self.lists.select(self.id_col, "list").join(F.broadcast(best), self.id_col).collect()
         at = np.bincount([places[asked[r["query_id"]], r["list"]] for r in exact], minlength=len(self.centroids))
         reached = np.cumsum(at) >= target * max(1, at.sum())
         return int(np.argmax(reached)) + 1 if reached.any() else len(self.centroids)
 
 
-def search_batch(df: DataFrame, queries: DataFrame, k: int, metric: Metric, index: IvfIndex | None = None, probes: int = 8, rows: int | None = None, **names) -> DataFrame:
+class Places(IvfIndex):
+    """What a task needs of an index to place lists."""
+
+    def __init__(self, centroids: np.ndarray, metric: Metric):
+        self.centroids, self.metric = centroids, metric
+
+
+def search_batch(df: DataFrame, queries: DataFrame, k: int, metric: Metric, index: IvfIndex | None = None, probes: int = 8, **names) -> DataFrame:
     """``search`` for every query of (query_id, query)."""
-    if index is None or (rows is not None and rows <= EXACT_LIMIT):
+    if index is None or index.rows <= EXACT_LIMIT:
         return knn_batch(df, queries, k, metric, **names)
-    return index.search_batch(queries, k, metric, probes)
+    return index.search_batch(queries, k, probes)
 
 
-def search(df: DataFrame, query: list[float], k: int, metric: Metric, index: IvfIndex | None = None, probes: int = 8, rows: int | None = None, **names) -> DataFrame:
+def search(df: DataFrame, query: list[float], k: int, metric: Metric, index: IvfIndex | None = None, probes: int = 8, **names) -> DataFrame:
     """Exact up to ``EXACT_LIMIT`` vectors or without an index, else by the index."""
-    if index is None or (rows is not None and rows <= EXACT_LIMIT):
+    if index is None or index.rows <= EXACT_LIMIT:
         return knn(df, query, k, metric, **names)
-    return index.search(query, k, metric, probes)
+    return index.search(query, k, probes)
 
 
 def recall(approximate: DataFrame, exact: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:

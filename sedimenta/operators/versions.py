@@ -63,32 +63,43 @@ def lookup_state(log: DataFrame, keys: DataFrame, snapshot: int) -> DataFrame:
     return keys.join(top, "key", "left").select("key", state.alias("state"), F.when(~F.col("tombstone"), F.col("value")).alias("value"))
 
 
-def annotated_merge(runs: DataFrame, floor: int, bottom: bool) -> DataFrame:
-    """Every entry of the runs with ``keep`` and ``dropped_tombstone``.
+def once(runs: DataFrame) -> DataFrame:
+    """Of equal (key, seqno) the entry of the newest run (lowest ``run``)."""
+    rest = [c for c in runs.columns if c not in ("key", "seqno")]
+    top = runs.groupBy("key", "seqno").agg(F.min_by(F.struct(*rest), "run").alias("v"))
+    return top.select("key", "seqno", *[F.col(f"v.{c}").alias(c) for c in rest])
 
-    Of equal (key, seqno) the newest run (lowest ``run``) stays; all versions above the floor stay, and of
-    those at or below it the newest of a key, unless it is a tombstone in the bottom level.
+
+def _merged(runs: DataFrame, floor: int) -> tuple[DataFrame, DataFrame]:
+    """Entries above the floor, and the newest of each key at or below it.
+
+    Both are aggregates that combine before the shuffle: a key with a third of all versions at or below the
+    floor meets as one row from each task, and its versions above it are dealt out by their sequence numbers.
     """
-    same = Window.partitionBy("key", "seqno").orderBy("run")
-    below = F.col("seqno") <= floor
-    side = Window.partitionBy("key", below, F.col("dup") == 1).orderBy(F.col("seqno").desc())
-    out = runs.withColumn("dup", F.row_number().over(same))
-    out = out.withColumn("rn", F.row_number().over(side)).withColumn("first", F.col("dup") == 1)
-    last = F.col("first") & below & (F.col("rn") == 1)
-    gone = last & F.col("tombstone") & F.lit(bottom)
-    keep = F.col("first") & (~below | (last & ~gone))
-    return out.withColumn("keep", keep).withColumn("dropped_tombstone", gone).drop("dup", "rn", "first")
+    names = ["key", "seqno", "value", "tombstone"]
+    above = once(runs.filter(F.col("seqno") > floor)).select(*names)
+    low = runs.filter(F.col("seqno") <= floor).groupBy("key")
+    low = low.agg(F.max_by(F.struct("seqno", "value", "tombstone"), F.struct("seqno", -F.col("run"))).alias("v"))
+    return above, low.select("key", *[F.col(f"v.{c}").alias(c) for c in names[1:]])
 
 
 def merge_runs(runs: DataFrame, floor: int, bottom: bool) -> DataFrame:
-    return annotated_merge(runs, floor, bottom).filter("keep").select("key", "seqno", "value", "tombstone")
+    """One run of several (``run`` is the age, 0 the newest).
+
+    Of equal (key, seqno) the newest run's entry stays; all versions above the floor stay, and of those at or
+    below it the newest of a key, unless it is a tombstone in the bottom level.
+    """
+    above, below = _merged(runs, floor)
+    return above.unionByName(below.filter("NOT tombstone") if bottom else below)
 
 
 def merge_stats(runs: DataFrame, floor: int, bottom: bool) -> DataFrame:
     """Entries in and out, versions and tombstones dropped, and amplification of one merge."""
-    m = annotated_merge(runs, floor, bottom)
-    n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
-    out = m.agg(F.count(F.lit(1)).alias("entries_in"), n(F.col("keep")).alias("entries_out"), n(F.col("dropped_tombstone")).alias("tombstones_dropped"))
+    above, below = _merged(runs, floor)
+    gone = F.count_if(F.col("tombstone") & F.lit(bottom)).alias("tombstones_dropped")
+    out = runs.agg(F.count(F.lit(1)).alias("entries_in")).crossJoin(above.agg(F.count(F.lit(1)).alias("a")))
+    out = out.crossJoin(below.agg(F.count(F.lit(1)).alias("b"), gone))  # one row each
+    out = out.withColumn("entries_out", F.col("a") + F.col("b") - F.col("tombstones_dropped")).drop("a", "b")
     out = out.withColumn("versions_dropped", F.col("entries_in") - F.col("entries_out") - F.col("tombstones_dropped"))
     return out.withColumn("amplification", F.when(F.col("entries_out") == 0, 1.0).otherwise(F.col("entries_in") / F.col("entries_out")))
 

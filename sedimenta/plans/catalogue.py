@@ -81,21 +81,15 @@ for name, tables, statement, sql in [
     ("sql_int_vs_float", "part", "SELECT p_partkey, p_size FROM part WHERE p_size > 24.5", None),
     ("sql_float_vs_int", "part", "SELECT p_partkey FROM part WHERE p_retailprice >= 1200", None),
     ("sql_wide_literal", "part", "SELECT p_partkey FROM part WHERE p_size < 9223372036854775807", None),
-    ("sql_order_asc", "customer", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_custkey ASC LIMIT 50", None),
-    ("sql_order_desc", "customer", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey DESC LIMIT 50", None),
-    ("sql_order_unprojected", "events", "SELECT user_id FROM events ORDER BY event_id DESC LIMIT 20", None),
+    ("sql_order_asc", "customer", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_custkey ASC", None),
+    ("sql_order_desc", "customer", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey DESC", None),
+    ("sql_order_unprojected", "events", "SELECT user_id FROM events ORDER BY event_id DESC", None),
     ("sql_topk", "events", "SELECT event_id, event_type FROM events WHERE event_type = 'purchase' ORDER BY event_id DESC LIMIT 25", None),
     ("sql_limit_zero", "orders", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 0", None),
     ("sql_order_nulls_last", {"keyed": lambda s, d: graded(s, d).select("lang", (F.col("doc_id") * F.when(F.col("quality").isNotNull(), 1)).alias("k"))},
-     "SELECT k FROM keyed ORDER BY k DESC LIMIT 500",
-     f"SELECT CASE WHEN quality IS NOT NULL THEN doc_id END AS k FROM {GRADED} ORDER BY k DESC NULLS LAST LIMIT 500"),
-    # whole tables, as a limit hides what stands last
-    ("sql_order_asc_all", "customer", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_custkey ASC", None),
-    ("sql_order_desc_all", "customer", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey DESC", None),
-    ("sql_order_unprojected_all", "events", "SELECT user_id FROM events ORDER BY event_id DESC", None),
-    ("sql_order_nulls_last_all", {"keyed": lambda s, d: graded(s, d).select("lang", (F.col("doc_id") * F.when(F.col("quality").isNotNull(), 1)).alias("k"))},
      "SELECT k FROM keyed ORDER BY k DESC",
      f"SELECT CASE WHEN quality IS NOT NULL THEN doc_id END AS k FROM {GRADED} ORDER BY k DESC NULLS LAST"),
+    ("sql_comments", "nation", "SELECT /* all of\n them */ n_name -- by name\nFROM nation /**/", "SELECT n_name FROM nation"),
 ]:
     dialect(name, tables, statement, sql or statement)
 
@@ -167,8 +161,17 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"))
 
 
-def _newest_at(n: int) -> str:
-    return f"(SELECT * FROM {LOG} WHERE seqno <= {n} QUALIFY row_number() OVER (PARTITION BY key ORDER BY seqno DESC) = 1)"
+def share(spark: SparkSession, sf_dir: str, percent: int) -> int:
+    """A sequence number so far up the log."""
+    return table(spark, sf_dir, "events").agg(F.max("event_id") + 1).first()[0] * percent // 100
+
+
+def _share(percent: int) -> str:
+    return f"(SELECT (max(event_id) + 1) * {percent} // 100 FROM events)"
+
+
+def _newest_at(percent: int) -> str:
+    return f"(SELECT * FROM {LOG} WHERE seqno <= {_share(percent)} QUALIFY row_number() OVER (PARTITION BY key ORDER BY seqno DESC) = 1)"
 
 
 BASE = "(SELECT c_custkey AS key, c_acctbal AS value FROM customer)"
@@ -186,14 +189,19 @@ def kv_get(spark, sf_dir):
     return versions.as_of(log(spark, sf_dir).filter("key = 7"), 2**62).select("key", "seqno", "value")
 
 
+@query(f"SELECT run, count(DISTINCT key) AS n FROM {LOG} GROUP BY run")
+def lsm_distinct_keys(spark, sf_dir):
+    return log(spark, sf_dir).groupBy("run").agg(F.count_distinct("key").alias("n"))
+
+
 @query(f"SELECT count(*) AS n FROM {NEWEST} WHERE NOT tombstone")
 def kv_count(spark, sf_dir):
     return versions.as_of(log(spark, sf_dir), 2**62).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT key, seqno, value FROM {_newest_at(500)} WHERE NOT tombstone")
+@query(f"SELECT key, seqno, value FROM {_newest_at(50)} WHERE NOT tombstone")
 def mvcc_asof(spark, sf_dir):
-    return versions.as_of(log(spark, sf_dir), 500).select("key", "seqno", "value")
+    return versions.as_of(log(spark, sf_dir), share(spark, sf_dir, 50)).select("key", "seqno", "value")
 
 
 @query(_OVERLAY.format(b=BASE, v=NEWEST))
@@ -202,18 +210,18 @@ def mvcc_overlay(spark, sf_dir):
 
 
 @query(
-    f"SELECT 'base' AS side, key, value, NULL::BIGINT AS seqno FROM ({_OVERLAY.format(b=BASE, v=_newest_at(600))}) "
-    f"UNION ALL SELECT 'log', key, value, seqno FROM {LOG} WHERE seqno > 600"
+    f"SELECT 'base' AS side, key, value, NULL::BIGINT AS seqno FROM ({_OVERLAY.format(b=BASE, v=_newest_at(60))}) "
+    f"UNION ALL SELECT 'log', key, value, seqno FROM {LOG} WHERE seqno > {_share(60)}"
 )
 def mvcc_fold(spark, sf_dir):
-    folded, rest = versions.fold(base(spark, sf_dir), log(spark, sf_dir), 600)
+    folded, rest = versions.fold(base(spark, sf_dir), log(spark, sf_dir), share(spark, sf_dir, 60))
     left = folded.select(F.lit("base").alias("side"), "key", "value", F.lit(None).cast("long").alias("seqno"))
     return left.unionByName(rest.select(F.lit("log").alias("side"), "key", "value", "seqno"))
 
 
-@query(f"SELECT DISTINCT c_custkey AS key FROM customer WHERE c_custkey <= 40 AND c_custkey IN (SELECT key FROM {LOG} WHERE seqno > 900)")
+@query(f"SELECT DISTINCT c_custkey AS key FROM customer WHERE c_custkey IN (SELECT key FROM {LOG} WHERE seqno > {_share(90)})")
 def mvcc_conflicts(spark, sf_dir):
-    return versions.conflicts(log(spark, sf_dir), base(spark, sf_dir).filter("key <= 40"), 900)
+    return versions.conflicts(log(spark, sf_dir), base(spark, sf_dir), share(spark, sf_dir, 90))
 
 
 @query("SELECT coalesce(min(event_id), 999) AS watermark FROM events WHERE event_type = 'signup'")
@@ -254,39 +262,40 @@ def wal_recover(spark, sf_dir):
 # runs
 
 
-@query(f"SELECT key, seqno, value, tombstone, run FROM {_newest_at(700)}")
+@query(f"SELECT key, seqno, value, tombstone, run FROM {_newest_at(70)}")
 def lsm_snapshot_view(spark, sf_dir):
-    return versions.newest(log(spark, sf_dir), 700)
+    return versions.newest(log(spark, sf_dir), share(spark, sf_dir, 70))
 
 
 @query(f"""SELECT k.c_custkey AS key, CASE WHEN v.key IS NULL THEN 'absent' WHEN v.tombstone THEN 'deleted' ELSE 'found' END AS state,
-CASE WHEN NOT v.tombstone THEN v.value END AS value FROM customer k LEFT JOIN {_newest_at(400)} v ON v.key = k.c_custkey""")
+CASE WHEN NOT v.tombstone THEN v.value END AS value FROM customer k LEFT JOIN {_newest_at(40)} v ON v.key = k.c_custkey""")
 def lsm_lookup_state(spark, sf_dir):
-    return versions.lookup_state(log(spark, sf_dir), base(spark, sf_dir).select("key"), 400)
+    return versions.lookup_state(log(spark, sf_dir), base(spark, sf_dir).select("key"), share(spark, sf_dir, 40))
 
 
-def _merged(floor: int, bottom: bool) -> str:
+def _merged(percent: int, bottom: bool) -> str:
+    floor = _share(percent)
     keep = f"seqno > {floor} OR (rn = 1" + (" AND NOT tombstone)" if bottom else ")")
     return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key, seqno <= {floor} ORDER BY seqno DESC) AS rn FROM {LOG}) WHERE {keep}"""
 
 
-@query(f"SELECT key, seqno, value, tombstone FROM ({_merged(5000, False)})")
+@query(f"SELECT key, seqno, value, tombstone FROM ({_merged(50, False)})")
 def lsm_merge_runs(spark, sf_dir):
-    return versions.merge_runs(log(spark, sf_dir), 5000, False)
+    return versions.merge_runs(log(spark, sf_dir), share(spark, sf_dir, 50), False)
 
 
-@query(f"SELECT key, seqno, value, tombstone FROM ({_merged(8000, True)})")
+@query(f"SELECT key, seqno, value, tombstone FROM ({_merged(80, True)})")
 def lsm_merge_bottom(spark, sf_dir):
-    return versions.merge_runs(log(spark, sf_dir), 8000, True)
+    return versions.merge_runs(log(spark, sf_dir), share(spark, sf_dir, 80), True)
 
 
-@query(f"""WITH a AS (SELECT *, row_number() OVER (PARTITION BY key, seqno <= 8000 ORDER BY seqno DESC) AS rn FROM {LOG}),
-s AS (SELECT count(*) AS entries_in, count(*) FILTER (seqno > 8000 OR (rn = 1 AND NOT tombstone)) AS entries_out,
-  count(*) FILTER (seqno <= 8000 AND rn = 1 AND tombstone) AS tombstones_dropped FROM a)
+@query(f"""WITH a AS (SELECT *, row_number() OVER (PARTITION BY key, seqno <= {_share(80)} ORDER BY seqno DESC) AS rn FROM {LOG}),
+s AS (SELECT count(*) AS entries_in, count(*) FILTER (seqno > {_share(80)} OR (rn = 1 AND NOT tombstone)) AS entries_out,
+  count(*) FILTER (seqno <= {_share(80)} AND rn = 1 AND tombstone) AS tombstones_dropped FROM a)
 SELECT *, entries_in - entries_out - tombstones_dropped AS versions_dropped,
   CASE WHEN entries_out = 0 THEN 1.0::DOUBLE ELSE entries_in::DOUBLE / entries_out END AS amplification FROM s""")
 def lsm_merge_stats(spark, sf_dir):
-    return versions.merge_stats(log(spark, sf_dir), 8000, True)
+    return versions.merge_stats(log(spark, sf_dir), share(spark, sf_dir, 80), True)
 
 
 RUN_META = f"""(SELECT run, min(key) AS min_key, max(key) AS max_key, min(seqno) AS min_seqno, max(seqno) AS max_seqno, count(*) AS entries,
@@ -301,14 +310,14 @@ def lsm_run_meta(spark, sf_dir):
 
 
 TABLES = """(SELECT p_partkey AS id, CAST(CASE WHEN p_partkey <= 6 THEN 0 ELSE 1 + p_partkey % 3 END AS INTEGER) AS level,
-  p_partkey AS min_key, p_partkey + p_size * 10 AS max_key, CAST(p_size * 400000 AS BIGINT) AS bytes FROM part WHERE p_partkey <= 60)"""
+  p_partkey AS min_key, p_partkey + p_size * 10 AS max_key, CAST(p_size * 400000 AS BIGINT) AS bytes FROM part)"""
 SCORES = f"""(SELECT level, count(*) AS tables, CAST(sum(bytes) AS BIGINT) AS bytes,
   CASE WHEN level = 0 THEN count(*) / 4.0::DOUBLE ELSE sum(bytes)::DOUBLE / (8388608.0 * pow(10.0, level - 1)) END AS score FROM {TABLES} GROUP BY level)"""
 
 
 def tables_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = F.when(F.col("p_partkey") <= 6, 0).otherwise(1 + F.col("p_partkey") % 3).cast("int")
-    return table(spark, sf_dir, "part").filter("p_partkey <= 60").select(
+    return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("id"), level.alias("level"), F.col("p_partkey").alias("min_key"),
         (F.col("p_partkey") + F.col("p_size") * 10).alias("max_key"), (F.col("p_size") * 400000).cast("long").alias("bytes"),
     )
@@ -333,20 +342,28 @@ def lsm_pick_compaction(spark, sf_dir):
     return lsm.pick_compaction(tables_of_runs(spark, sf_dir))
 
 
-@query(f"SELECT * FROM {TABLES} WHERE min_key <= 40 AND max_key >= 25")
+def _parts(spark: SparkSession, sf_dir: str, percent: int) -> int:
+    return table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] * percent // 100
+
+
+def _sql_parts(percent: int) -> str:
+    return f"(SELECT max(p_partkey) * {percent} // 100 FROM part)"
+
+
+@query(f"SELECT * FROM {TABLES} WHERE min_key <= {_sql_parts(60)} AND max_key >= {_sql_parts(40)}")
 def lsm_overlap(spark, sf_dir):
-    return lsm.overlapping(tables_of_runs(spark, sf_dir), 25, 40)
+    return lsm.overlapping(tables_of_runs(spark, sf_dir), _parts(spark, sf_dir, 40), _parts(spark, sf_dir, 60))
 
 
-@query(f"SELECT * FROM {TABLES} WHERE min_key <= 30 AND max_key >= 30")
+@query(f"SELECT * FROM {TABLES} WHERE min_key <= {_sql_parts(50)} AND max_key >= {_sql_parts(50)}")
 def lsm_lookup_order(spark, sf_dir):
-    return lsm.lookup_order(tables_of_runs(spark, sf_dir), 30)
+    return lsm.lookup_order(tables_of_runs(spark, sf_dir), _parts(spark, sf_dir, 50))
 
 
-@query("""WITH e AS (SELECT event_id AS seq, user_id AS id, CASE WHEN event_id = 300 THEN 'snapshot' WHEN event_type IN ('error', 'view') THEN 'remove' ELSE 'add' END AS kind FROM events)
-SELECT id FROM (SELECT id, arg_max(kind, seq) AS kind FROM e WHERE seq > 300 GROUP BY id) WHERE kind = 'add'""")
+@query(f"""WITH e AS (SELECT event_id AS seq, user_id AS id, CASE WHEN event_id = {_share(30)} THEN 'snapshot' WHEN event_type IN ('error', 'view') THEN 'remove' ELSE 'add' END AS kind FROM events)
+SELECT id FROM (SELECT id, arg_max(kind, seq) AS kind FROM e WHERE seq > {_share(30)} GROUP BY id) WHERE kind = 'add'""")
 def manifest_replay(spark, sf_dir):
-    kind = F.when(F.col("event_id") == 300, "snapshot").when(F.col("event_type").isin("error", "view"), "remove").otherwise("add")
+    kind = F.when(F.col("event_id") == share(spark, sf_dir, 30), "snapshot").when(F.col("event_type").isin("error", "view"), "remove").otherwise("add")
     edits = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("id"), kind.alias("kind"))
     return lsm.replay_manifest(edits)
 
@@ -357,6 +374,49 @@ def manifest_orphans(spark, sf_dir):
     return lsm.orphans(tables_of_runs(spark, sf_dir).select("id"), live)
 
 
+def _engine(spark: SparkSession, sf_dir: str):
+    """The log in four bulk loads, flushed to runs of level 0."""
+    from sedimenta.operators.engine import LsmEngine
+    from sedimenta.sources.folders import work_folder
+
+    engine = LsmEngine(spark, f"{work_folder(spark)}/engine-{uuid.uuid4().hex}", "bigint", "double")
+    rows = log(spark, sf_dir)
+    for run in range(4):
+        engine.load(rows.filter(F.col("run") == run))
+    engine.flush_all()
+    return engine
+
+
+@query(f"SELECT key, seqno, value, tombstone FROM ({_merged(60, False)})")
+def lsm_compact_once(spark, sf_dir):
+    """Four runs of level 0, which is when a merge is due, become one of level 1."""
+    engine = _engine(spark, sf_dir)
+    engine.compact_once(share(spark, sf_dir, 60))
+    return engine.log()
+
+
+@query(f"SELECT key, value FROM {_newest_at(90)} WHERE NOT tombstone")
+def lsm_reopen(spark, sf_dir):
+    """A store that is closed after compaction and opened again, its runs checked, read at a snapshot above the floor."""
+    from sedimenta.operators.engine import LsmEngine
+
+    engine = _engine(spark, sf_dir)
+    engine.compact_until_stable(share(spark, sf_dir, 80))
+    engine.close()
+    return LsmEngine(spark, engine.root, "bigint", "double").scan(share(spark, sf_dir, 90))
+
+
+@query(f"""SELECT 4::BIGINT AS tables, 4::BIGINT AS flushes, (SELECT count(*) FROM {LOG}) AS entries, (SELECT max(event_id) + 1 FROM events) AS checkpoint,
+  (SELECT CAST(sum(strlen(CAST(key AS VARCHAR)) + 64) AS BIGINT) FROM {LOG}) AS least_bytes""")
+def lsm_stats(spark, sf_dir):
+    """Figures of the store; its bytes are those of keys and overheads at least."""
+    engine = _engine(spark, sf_dir)
+    stats, runs = engine.stats(), engine.manifest.tables.values()
+    values = log(spark, sf_dir).agg(F.sum(F.coalesce(F.octet_length(F.col("value").cast("string")), F.lit(0)))).first()[0]
+    row = (sum(stats.tables.values()), stats.flushes, sum(t["entries"] for t in runs), stats.checkpoint, stats.bytes - values)
+    return spark.createDataFrame([row], "tables long, flushes long, entries long, checkpoint long, least_bytes long")
+
+
 # metrics and traces
 
 SAMPLES = "(SELECT event_type, CAST(floor(value * 100) AS BIGINT) AS micros FROM events)"
@@ -455,22 +515,28 @@ def prefs_int_encode(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.hex(codecs.encode_int(F.col("c_custkey"))).alias("encoded"))
 
 
-@query("SELECT c_custkey, c_custkey * -3 AS n, c_name AS s, c_custkey % 2 = 0 AS b, 'int' AS kind FROM customer")
+@query("SELECT c_custkey, c_custkey * -3 AS n, c_name AS s, c_custkey % 2 = 0 AS b, c_acctbal AS d, string_split(c_name, '0') AS l, 'stringList' AS kind FROM customer")
 def prefs_round_trip(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     n = codecs.encode_int(F.col("c_custkey") * -3)
     s, b = codecs.encode_string(F.col("c_name")), codecs.encode_bool(F.col("c_custkey") % 2 == 0)
-    return c.select("c_custkey", codecs.decode_int(n).alias("n"), codecs.decode_string(s).alias("s"), codecs.decode_bool(b).alias("b"), codecs.type_of(n).alias("kind"))
+    d, items = codecs.encode_double("c_acctbal"), codecs.encode_list(F.split("c_name", "0"))
+    return c.select(
+        "c_custkey", codecs.decode_int(n).alias("n"), codecs.decode_string(s).alias("s"), codecs.decode_bool(b).alias("b"),
+        codecs.decode_double(d).alias("d"), codecs.decode_list(items).alias("l"), codecs.type_of(items).alias("kind"),
+    )
 
 
-@query("SELECT event_id, props FROM events")
+@query("SELECT event_id, props, strlen(props) + 16 AS sealed_bytes, TRUE AS hidden FROM events")
 def page_encryption(spark, sf_dir):
-    """Seal and open every row again; a wrong version opens nothing."""
+    """Seal and open every row again; a wrong version or page opens nothing, and a tag of 16 bytes is added."""
     e = table(spark, sf_dir, "events")
     key, page, plain = F.unhex(F.lit("00112233445566778899aabbccddeeff" * 2)), F.col("event_id"), F.encode("props", "UTF-8")
     sealed = codecs.encrypt_page(plain, key, page, F.lit(3))
     opened = codecs.decrypt_page(sealed, key, page, F.lit(3))
-    return e.select("event_id", F.when(codecs.decrypt_page(sealed, key, page, F.lit(4)).isNull(), F.decode(opened, "UTF-8")).alias("props"))
+    hidden = codecs.decrypt_page(sealed, key, page, F.lit(4)).isNull() & codecs.decrypt_page(sealed, key, page + 1, F.lit(3)).isNull()
+    bytes_ = F.octet_length(sealed).cast("long")
+    return e.select("event_id", F.decode(opened, "UTF-8").alias("props"), bytes_.alias("sealed_bytes"), (hidden & (F.substring(sealed, F.lit(1), bytes_.cast("int") - 16) != plain)).alias("hidden"))
 
 
 # vectors
@@ -585,36 +651,96 @@ def vec_get(spark, sf_dir):
     return out.select("id", F.size("embedding").cast("long").alias("dim"))
 
 
-@query("SELECT vec_id, TRUE AS valid FROM embeddings")
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of which some are null, too short, not finite or without a number."""
+    e, k = _embeddings(spark, sf_dir), F.col("vec_id") % 10
+    v = F.col("embedding")
+    short = F.slice(v, 1, 63)
+    made = F.when(k == 1, F.lit(None)).when(k == 2, short).when(k == 3, F.concat(short, F.array(F.lit(float("nan"))))).when(k == 4, F.concat(short, F.array(F.lit(float("-inf")))))
+    return e.withColumn("embedding", made.when(k == 5, F.concat(short, F.array(F.lit(None).cast("double")))).otherwise(v))
+
+
+PLANTED = f"""(SELECT vec_id, CASE vec_id % 10 WHEN 1 THEN NULL WHEN 2 THEN x[1:63] WHEN 3 THEN list_append(x[1:63], 'nan'::DOUBLE)
+  WHEN 4 THEN list_append(x[1:63], '-inf'::DOUBLE) WHEN 5 THEN list_append(x[1:63], NULL::DOUBLE) ELSE x END AS v, {_Q} AS q
+  FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings))"""
+_GOOD = "coalesce(len(v) = 64 AND len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = 64, FALSE)"
+
+
+@query(f"SELECT vec_id, {_GOOD} AS valid FROM {PLANTED}")
 def vec_validate(spark, sf_dir):
-    e = _embeddings(spark, sf_dir)
+    e = planted(spark, sf_dir)
     return e.select("vec_id", vector.valid(e, 64, "vec_id").alias("valid"))
 
 
-def _approximate(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Vectors, queries (every twentieth vector) and their 10 neighbours by inverted lists, exact for few vectors."""
-    e = _embeddings(spark, sf_dir)
+@query(f"""SELECT vec_id, round(sqrt(o), 6) AS distance, round(1 / (1 + sqrt(o)), 6) AS score FROM (
+  SELECT vec_id, {_sq('v', 'q')} AS o FROM {PLANTED} WHERE {_GOOD}) ORDER BY o, vec_id LIMIT 20""")
+def knn_broken_vectors(spark, sf_dir):
+    """Vectors that can't be inserted are nobody's neighbours."""
+    return _rounded(vector.knn(planted(spark, sf_dir), QUERY, 20, Metric.L2))
+
+
+@query(f"""WITH p AS (SELECT vec_id, v FROM {PLANTED} WHERE {_GOOD}) SELECT query_id, vec_id, round(o, 6) AS distance FROM (
+  SELECT a.vec_id AS query_id, b.vec_id, 1 - greatest(-1.0, least(1.0, {_dot('b.v', 'a.v')} / (sqrt({_dot('b.v', 'b.v')}) * sqrt({_dot('a.v', 'a.v')})))) AS o
+  FROM p a, p b WHERE a.vec_id % 20 = 0) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o, vec_id) <= 5""")
+def knn_batch_broken_vectors(spark, sf_dir):
+    e = planted(spark, sf_dir)
+    asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return vector.knn_batch(e, asked, 5, Metric.COSINE).select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
+
+
+def _approximate(spark: SparkSession, sf_dir: str, metric: Metric) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vectors of different lengths, queries (every twentieth) and their 10 neighbours by inverted lists, exact for few vectors."""
+    e = _embeddings(spark, sf_dir, scaled=metric != Metric.L2)
     asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    rows, index, probes = e.count(), None, 0
-    if rows > vector.EXACT_LIMIT:
-        index = vector.IvfIndex.build(e, 16)
-        probes = index.probes_for(asked, 10, Metric.L2)
-    return e, asked, vector.search_batch(e, asked, 10, Metric.L2, index, probes, rows)
+    index = vector.IvfIndex.build(e, 16, metric=metric)
+    probes = index.probes_for(asked, 10) if index.rows > vector.EXACT_LIMIT else 0
+    return e, asked, vector.search_batch(e, asked, 10, metric, index, probes)
 
 
 @query()
 def knn_ivf(spark, sf_dir):
     """Approximate search by inverted lists; as many are probed as measured recall needs."""
-    return _approximate(spark, sf_dir)[2]
+    return _approximate(spark, sf_dir, Metric.L2)[2]
 
 
 @query()
 def knn_recall(spark, sf_dir):
     """Share of the exact neighbours that ``knn_ivf`` finds."""
-    e, asked, found = _approximate(spark, sf_dir)
+    e, asked, found = _approximate(spark, sf_dir, Metric.L2)
     return vector.recall(found, vector.knn_batch(e, asked, 10, Metric.L2), 10)
 
 
+def _recall_of(metric: Metric) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e, asked, found = _approximate(spark, sf_dir, metric)
+        return vector.recall(found, vector.knn_batch(e, asked, 10, metric), 10).select("n", (F.col("recall") >= 0.9).alias("reached"))
+
+    run.__name__ = f"knn_ivf_recall_{metric.name.lower()}"
+    query("SELECT 10 * count(*) AS n, TRUE AS reached FROM embeddings WHERE vec_id % 20 = 0")(run)
+
+
+for _metric in Metric:
+    _recall_of(_metric)
+
+
+@query(f"""SELECT id, round(1 - o, 6) AS score FROM (SELECT CAST(id AS VARCHAR) AS id, {_COS} AS o FROM {LIVE}) ORDER BY o, id LIMIT 10""")
+def vec_db_search(spark, sf_dir):
+    """A store of vectors: all inserted, some replaced and removed, compacted, opened again and searched."""
+    from sedimenta.operators.vectordb import VectorDb
+    from sedimenta.sources.folders import work_folder
+
+    root = f"{work_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    db = VectorDb(spark, root, 64, Metric.COSINE)
+    rows = vector_log(spark, sf_dir)
+    db.insert_many(rows.filter("NOT deleted AND ordinal < 1000000").select("id", "embedding"))
+    db.insert_many(rows.filter("NOT deleted AND ordinal >= 1000000").select("id", "embedding"))
+    db.remove_many([str(r["id"]) for r in rows.filter("deleted").select("id").collect()])
+    db.compact()
+    db.close()
+    out = VectorDb(spark, root).search(QUERY, 10)
+    return out.select("id", F.round("score", 6).alias("score"))
+
+
 @query(f"SELECT key, value FROM {NEWEST} WHERE NOT tombstone")
 def stream_fold(spark, sf_dir):
     """The version log as a stream of files, folded batch by batch."""

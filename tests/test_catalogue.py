@@ -38,7 +38,7 @@ def test_query_equals_sql(spark, db, name):
 
 
 def test_whole_tables_are_ordered_with_nulls_last(spark, db):
-    for name in ("sql_order_asc_all", "sql_order_desc_all", "sql_order_unprojected_all", "sql_order_nulls_last_all"):
+    for name in ("sql_order_asc", "sql_order_desc", "sql_order_unprojected", "sql_order_nulls_last"):
         got = [tuple(map(plain, r)) for r in QUERIES[name](spark, SF).collect()]
         assert got == [tuple(map(plain, r)) for r in db.sql(ORACLE_SQL[name]).fetchall()], name
     assert plain(None) in {x for x, in got} and len(got) == db.sql("SELECT count(*) FROM documents").fetchall()[0][0]

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import types as T
 
 from sedimenta.plans import compile as plan
-from sedimenta.plans.dialect import CreateTable, Delete, Filter, Insert, Literal, Predicate, Select, SqlError, Update, parse
+from sedimenta.plans.dialect import CreateTable, Delete, Filter, Insert, Literal, Predicate, Select, SqlError, Update, parse, tokenize
 from sedimenta.plans.session import SqlSession
 
 
@@ -132,3 +132,10 @@ def test_results_round_trip_as_json(spark):
     assert back.rows() == [[1, "x"], [2.5, None], ["t", "é\n"]] and back.to_json() == text
     assert back.as_maps()[0] == {"a": 1, "b": "x"} and back.scalar() == 1
     assert SqlResult.from_json(spark, '{"type": "affected", "count": 3}').affected == 3
+
+
+def test_comments():
+    assert [t.value for t in tokenize("a /* b * / \n c */ d -- e\n/***/ f")] == ["a", "d", "f", None]
+    with pytest.raises(SqlError) as e:
+        tokenize("é /* open *")
+    assert e.value.offset == 3 and "comment" in str(e.value)

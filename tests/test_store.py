@@ -93,6 +93,9 @@ def test_snapshots_conflicts_and_checkpoints(spark, tmp_path):
     assert kv.count() == 2 and kv.get(b"c") is None and kv.get(b"k") == b"a"
     with pytest.raises(ValueError):
         kv.put(kv.begin(), b"", b"x")
+    assert kv.verify() == 0 and len(kv.vacuum()) > 0 and kv.vacuum() == [] and kv.count() == 2
+    kv.put_auto(b"n", b"1")
+    assert tuple(kv.stats().first())[1:] == (1, 1, 1)
 
 
 def test_only_one_writer_gets_a_number(spark, tmp_path):
@@ -114,6 +117,16 @@ def test_preferences(spark, tmp_path):
         p.set_many({"ok": 1, "bad": object()})
     assert not p.contains("ok") and p.remove("s") and not p.remove("s")
     p.remove_many(["i", "absent"])
+    assert p.count() == 4 and p.type_of("l") == "stringList" and p.type_of("absent") is None
+    few = Preferences(p.store, {"d"})
+    assert few.get("d") == 2.5
+    for bad in (lambda: few.get("b"), lambda: few.set("x", 1), lambda: p.set("", 1), lambda: p.get("")):
+        with pytest.raises(ValueError):
+            bad()
+    few.checkpoint()
+    few.close()
+    with pytest.raises(ValueError):
+        few.count()
     assert p.count() == 4
 
 
@@ -128,6 +141,13 @@ def test_columns_and_driver_codecs_agree(spark):
     assert [r["i"] for r in back] == [r[0] for r in rows]
     with pytest.raises(Exception, match="expected int"):
         df.select(codecs.decode_int(codecs.encode_string(F.col("s")))).collect()
+    out = df.select(codecs.decode_double(codecs.encode_double("d")).alias("d"), codecs.decode_list(codecs.encode_list(F.col("l"))).alias("l")).collect()
+    assert [(r["d"], r["l"]) for r in out] == [(d, x) for _, _, d, _, x in rows]
+    none = spark.createDataFrame([(None,)], "d double").select(codecs.decode_double(codecs.encode_double("d")).alias("d")).first()
+    assert none["d"] is None
+    for cut in (b"\x05\x02\x00\x00\x00\x01\x00\x00\x00a", b"\x05\x01\x00\x00\x00\xff\x00\x00\x00", b"\x05\x00\x00\x00\x00a", b"\x05\x01"):
+        with pytest.raises(Exception, match="truncated list"):
+            spark.createDataFrame([(cut,)], "v binary").select(codecs.decode_list(F.col("v"))).collect()
     for bad in (b"", b"\x02\x01", b"\x05\x01\x00\x00\x00\xff\x00\x00\x00"):
         with pytest.raises(ValueError):
             codecs.decode_value(bad)
@@ -160,6 +180,9 @@ def test_small_metric_functions(spark):
 
 def test_access_control_and_audit(spark, tmp_path):
     ac = security.AccessControl()
+    assert ac.authorize_open("anyone", "admin") is None
+    with pytest.raises(PermissionError):
+        ac.authorize("anyone", "read")
     ac.define_role("reader", ["read"])
     ac.add_principal("tok", "ann", ["reader", "reader"])
     assert ac.authorize("tok", "read") == "ann"
@@ -178,6 +201,45 @@ def test_access_control_and_audit(spark, tmp_path):
     assert (r["ts"], r["user_id"], r["source"], r["detail"]) == (5, "a\\tb", "-", "-") and r["key"] == "6b" * 64 + "~"
 
 
+def test_audit_log_is_appended(spark, tmp_path):
+    log = security.AuditLog(spark, str(tmp_path / "audit"))
+    log.allow(1, "ann", "put", key=b"k\x01")
+    log.deny(2, "bob\n", "drop", detail="no\tright")
+    assert log.sync() == 2 and log.sync() == 0
+    log.append(3, "allow", "ann", "get")
+    log.sync()
+    rows = [tuple(r) for r in log.read().orderBy("ts").collect()]
+    assert rows == [(1, "allow", "ann", "put", "6b01", "-", "-"), (2, "deny", "bob\\n", "drop", "-", "-", "no\\tright"), (3, "allow", "ann", "get", "-", "-", "-")] or rows[1][4] == ""
+
+
+def test_metrics_of_an_engine(spark):
+    m = observability.EngineMetrics()
+    assert {r["name"]: r["value"] for r in m.frame(spark).collect()}["write_amplification"] == 1.0
+    m.add("cache_hits", 3)
+    m.add("cache_misses")
+    m.move("runs", 2)
+    m.move("runs", -5)
+    with m.time("read_us"):
+        pass
+    with pytest.raises(ValueError):
+        m.add("reads", -1)
+    values = {r["name"]: r["value"] for r in m.frame(spark).collect()}
+    assert values["cache_hits_total"] == 3 and values["runs"] == 0 and values["cache_hit_ratio"] == 0.75
+    lines = [r["line"] for r in observability.prometheus(m.frame(spark)).collect()]
+    at = lines.index("# TYPE cache_hits_total counter")
+    assert lines[at - 1] == "# HELP cache_hits_total reads served from the cache" and lines[at + 1] == "cache_hits_total 3"
+    assert "cache_hits 3" in m.report() and m.latencies(spark).count() == 3
+
+
+def test_checksums_and_nonces(spark):
+    import zlib
+
+    r = spark.createDataFrame([(b"page", b"data")], "a binary, b binary").select(codecs.crc32(F.col("a"), F.col("b")).alias("c")).first()
+    assert r["c"] == zlib.crc32(b"pagedata")
+    writes = spark.createDataFrame([(1, 1, 5), (2, 1, 6), (3, 2, 1), (4, 1, 6), (5, 2, 9), (6, 1, 2)], "seq long, page_id long, version long")
+    assert sorted(x["seq"] for x in codecs.nonce_reuse(writes).collect()) == [4, 6]
+
+
 def test_run_planning(spark):
     t = spark.createDataFrame([(i, 0, i, i + 5, 100) for i in range(5)] + [(10, 1, 0, 3, 50), (11, 1, 8, 20, 60), (12, 1, 30, 40, 70)], "id long, level int, min_key long, max_key long, bytes long")
     assert lsm.pick_level(t).first()["level"] == 0
