@@ -1,7 +1,8 @@
 """Running statements of the dialect over registered and stored tables.
 
-Stored tables are immutable Parquet versions under a commit log: an insert adds a part, an
-update or a delete writes the rows anew, and a reader keeps the version that it began with.
+Stored tables are immutable Parquet parts under a commit log: an insert adds a part, an update or a delete
+writes the parts anew that hold a row it meets, and a reader keeps the version that it began with. Beyond a
+number of parts they are merged.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import json
 import math
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,9 @@ from sedimenta.plans.compile import MIXED, ROW_ID
 from sedimenta.plans.dialect import CreateTable, Delete, DropTable, Insert, Literal, Select, SqlError, Update, parse
 from sedimenta.sources.commit_log import CommitLog, Conflict
 
+#: Parts that a table has at most.
+MAX_PARTS = 64
+
 _TYPES = {"int": T.LongType(), "float": T.DoubleType(), "text": T.StringType()}
 
 
@@ -142,6 +147,13 @@ class SqlSession:
         df.write.parquet(path)
         return {"path": path, "names": df.columns[1:], "kinds": kinds}
 
+    def _commit(self, log: CommitLog, version: int, state: dict) -> None:
+        """Commit a state, with its parts merged if there are too many."""
+        if len(state["parts"]) > MAX_PARTS:
+            merged = self._write(log, self._read(state), [c["kind"] for c in state["columns"]])
+            state = {**state, "parts": [merged]}
+        log.commit(version, state)
+
     def _create(self, s: CreateTable) -> SqlResult:
         if s.table.lower() in self.frames:
             raise SqlError(f"table exists: {s.table}")
@@ -198,7 +210,7 @@ class SqlSession:
         part_state = {"columns": [{**c, "kind": k} for c, k in zip(columns, kinds)]}
         part = self._write(log, self.spark.createDataFrame(values, self._schema(part_state)), kinds)
         widened_columns = [{**c, "kind": joined_kind({c["kind"], k} - {None})} for c, k in zip(columns, kinds)]
-        log.commit(version + 1, {**state, "columns": widened_columns, "parts": [*state["parts"], part], "next_row_id": first + len(rows)})
+        self._commit(log, version + 1, {**state, "columns": widened_columns, "parts": [*state["parts"], part], "next_row_id": first + len(rows)})
         return SqlResult(affected=len(rows))
 
     def load(self, name: str, df: DataFrame) -> int:
@@ -213,7 +225,7 @@ class SqlSession:
         written = self.spark.read.schema(part_schema(part)).parquet(part["path"])
         n, top = written.agg(F.count(F.lit(1)), F.max(ROW_ID)).first()
         columns = [{**c, "kind": joined_kind({c["kind"], k} - {None})} for c, k in zip(state["columns"], kinds)]
-        log.commit(version + 1, {**state, "columns": columns, "parts": [*state["parts"], part], "next_row_id": (top or state["next_row_id"] - 1) + 1})
+        self._commit(log, version + 1, {**state, "columns": columns, "parts": [*state["parts"], part], "next_row_id": (top or state["next_row_id"] - 1) + 1})
         return n
 
     def _select(self, s: Select) -> SqlResult:
@@ -221,14 +233,17 @@ class SqlSession:
         return SqlResult(columns=out.columns, df=out)
 
     def _rewrite(self, table: str, change) -> SqlResult:
+        """``change(rows, columns)`` gives new rows, a condition for those it meets, and the columns then."""
         log, version, state = self._state(table)
-        df = self._read(state)
-        out, matched, columns = change(df, state["columns"])
-        n = matched.count()
-        if n:
-            part = self._write(log, out, [c["kind"] for c in columns])
-            log.commit(version + 1, {**state, "columns": columns, "parts": [part]})
-        return SqlResult(affected=n)
+        parts = state["parts"]
+        _, hit, columns = change(self._read(state), state["columns"])
+        found = [self._read({**state, "parts": [p]}).filter(hit).select(F.lit(i).alias("i")) for i, p in enumerate(parts)]
+        met = {r["i"]: r["count"] for r in reduce(DataFrame.unionByName, found).groupBy("i").count().collect()} if found else {}
+        if met:
+            old = self._read({**state, "parts": [parts[i] for i in sorted(met)]})
+            part = self._write(log, change(old, state["columns"])[0], [c["kind"] for c in columns])
+            self._commit(log, version + 1, {**state, "columns": columns, "parts": [*(p for i, p in enumerate(parts) if i not in met), part]})
+        return SqlResult(affected=sum(met.values()))
 
     def _update(self, s: Update) -> SqlResult:
         def change(df: DataFrame, columns: list[dict]):
@@ -248,7 +263,7 @@ class SqlSession:
                 kind = joined_kind({c["kind"], None if v.kind == "null" else v.kind} - {None})
                 out.append(F.when(hit, literal(v, kind)).otherwise(widened(old, c["kind"], kind)).alias(c["name"]))
                 c["kind"] = kind
-            return df.select(ROW_ID, *out), df.filter(hit), columns
+            return df.select(ROW_ID, *out), hit, columns
 
         return self._rewrite(s.table, change)
 
@@ -256,7 +271,7 @@ class SqlSession:
         def change(df: DataFrame, columns: list[dict]):
             hit = plan.condition(df, s.where)
             hit = F.lit(True) if hit is None else hit
-            return df.filter(~hit), df.filter(hit), columns
+            return df.filter(~hit), hit, columns
 
         return self._rewrite(s.table, change)
 

@@ -139,3 +139,22 @@ def test_comments():
     with pytest.raises(SqlError) as e:
         tokenize("é /* open *")
     assert e.value.offset == 3 and "comment" in str(e.value)
+
+
+def test_only_parts_that_are_met_are_written_anew(spark, tmp_path, monkeypatch):
+    from sedimenta.plans import session as module
+
+    s = SqlSession(spark, str(tmp_path))
+    s.query("CREATE TABLE t (a, _part)")
+    for i in range(4):
+        s.query(f"INSERT INTO t VALUES ({i}, 'x'), ({10 + i}, 'y')")
+    parts = lambda: [p["path"] for p in s._state("t")[2]["parts"]]
+    before = parts()
+    assert s.query("UPDATE t SET _part = 5 WHERE a = 11").affected == 1 and set(parts()) & set(before) == set(before) - {before[1]}
+    assert s.query("DELETE FROM t WHERE a = 99").affected == 0 and len(parts()) == 4
+    assert s.query("DELETE FROM t WHERE _part = 5").affected == 1
+    rows = [[i + k, v] for i in range(4) for k, v in ((0, "x"), (10, "y")) if i + k != 11]
+    assert s.query("SELECT * FROM t").rows() == rows
+    monkeypatch.setattr(module, "MAX_PARTS", 4)
+    s.query("INSERT INTO t VALUES (1.5, NULL)")
+    assert len(parts()) == 1 and s.query("SELECT * FROM t").rows() == [*rows, [1.5, None]]

@@ -273,3 +273,16 @@ def test_tracer(spark):
     assert [r["name"] for r in rows] == ["last", "outer"] and len(t.done) == 3
     got = {r["trace_id"]: (r["n"], r["errors"]) for r in observability.traces(spark.createDataFrame(t.done, observability.SPAN)).collect()}
     assert sorted(got.values()) == [(1, 0), (2, 1)]
+
+
+def test_stream_state_is_folded_now_and_then(spark, tmp_path):
+    from sedimenta.streaming.fold import StreamFold
+
+    kind = "key long, seqno long, value string, tombstone boolean"
+    fold = StreamFold(spark, str(tmp_path / "f"), kind, every=2)
+    for batch in range(5):
+        rows = [(k, 10 * batch + k, f"{batch}", k == batch) for k in range(3)] + [(0, 10 * batch + 5, "again", False)]
+        fold.apply(spark.createDataFrame(rows, kind), batch)
+        fold.apply(spark.createDataFrame([(9, 9, "replayed", False)], kind), batch)
+        assert len(fold.log.latest()[1]["parts"]) <= 2
+    assert {r["key"]: r["value"] for r in fold.visible().collect()} == {0: "again", 1: "4", 2: "4"}
