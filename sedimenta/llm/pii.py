@@ -27,8 +27,8 @@ from sedimenta.llm.common import cut, key_join, keyed, sha256_text, small, with_
 KINDS = ["email", "ip", "card", "phone", "term"]
 #: Share of an entity's information that a term may carry, and documents that its estimate is shrunk by.
 ALPHA, PRIOR = 0.8, 1.0
-#: Most frequent terms that every executor gets, to leave out pairs early; the result doesn't depend on it.
-COMMON_TERMS = 50_000
+#: Most frequent terms (and bytes of one) that every executor gets, to leave out pairs early; the result doesn't depend on it.
+COMMON_TERMS, COMMON_BYTES = 50_000, 64
 
 # what a pattern can begin with is bounded, so that long runs of digits or letters take linear time
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -157,7 +157,14 @@ def sanitise_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     entity = small(cut(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))))
     df = cut(source.select("_text").mapInArrow(_frequencies, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("n_t")))
     # a pair with a common term is left out early if it would fail at the largest count it can have
-    common = F.broadcast(df.orderBy(F.desc("n_t"), "term").limit(COMMON_TERMS).withColumnRenamed("n_t", "n_c"))
+    # which terms are the most frequent is read off counts of bins, so that no task sends more than its part
+    octave, room, least = F.floor(F.log2("n_t") * 8), COMMON_TERMS, None
+    for b, count in sorted(((r["b"], r["count"]) for r in df.groupBy(octave.alias("b")).count().collect()), reverse=True):
+        if count > room:
+            break
+        room, least = room - count, b
+    often = F.lit(False) if least is None else (octave >= least) & (F.octet_length("term") <= COMMON_BYTES)
+    common = F.broadcast(df.filter(often).withColumnRenamed("n_t", "n_c"))
     pairs = held.join(entity, "entity").select("_id", "_th", "entity", "n_e", F.explode("terms").alias("term")).join(common, "term", "left")
     pairs = pairs.withColumn("n_t", F.col("n_c")).filter(F.col("n_c").isNull() | tells(F.least("n_e", "n_c"))).select("_id", "_th", "entity", "n_e", "term")
     both = pairs.groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_te"))
