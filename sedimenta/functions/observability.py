@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import time
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -159,10 +160,13 @@ SPAN = "seq long, trace_id long, span_id long, parent_id long, name string, dura
 
 
 class Tracer:
-    """Spans timed on the driver, in the order in which they end; ``frame`` makes a table of them."""
+    """Spans timed on the driver, in the order in which they end; ``frame`` makes a table of them.
 
-    def __init__(self, capacity: int = 10_000):
-        self.capacity, self.done, self._ids = capacity, [], itertools.count(1)
+    ``export`` is called with each span that ends.
+    """
+
+    def __init__(self, capacity: int = 10_000, export: Callable[[tuple], None] | None = None):
+        self.capacity, self.export, self.done, self._ids = capacity, export, [], itertools.count(1)
 
     @contextmanager
     def span(self, name: str, parent: dict | None = None):
@@ -178,6 +182,8 @@ class Tracer:
         finally:
             took = (time.perf_counter_ns() - began) // 1000
             self.done.append((len(self.done), own["trace_id"], number, own["parent_id"], name, took, own["attributes"], own["error"]))
+            if self.export:
+                self.export(self.done[-1])
 
     def frame(self, spark: SparkSession) -> DataFrame:
         return ring(spark.createDataFrame(self.done, SPAN), self.capacity)

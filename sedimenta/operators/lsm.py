@@ -83,6 +83,28 @@ def bloom_parameters(keys: int, bits_per_key: int = 10) -> tuple[int, int, float
     return bits, k, (1 - math.exp(-k * keys / bits)) ** k
 
 
+class Bloom:
+    """A filter over the keys of a frame, built in tasks and merged, to ask for single keys on the driver."""
+
+    def __init__(self, made):
+        self._made = made
+
+    @classmethod
+    def build(cls, keys: DataFrame, column: str = "key", bits_per_key: int = 10) -> Bloom:
+        n = max(1, keys.count())
+        bits = bloom_parameters(n, bits_per_key)[0]
+        plain = keys.select(F.hex(column).alias("k") if isinstance(keys.schema[column].dataType, T.BinaryType) else F.col(column).cast("string").alias("k"))
+        return cls(plain.filter("k IS NOT NULL")._jdf.stat().bloomFilter("k", n, bits))
+
+    def contains(self, key) -> bool:
+        """False only if the key isn't there."""
+        return self._made.mightContainString(bytes(key).hex().upper() if isinstance(key, (bytes, bytearray)) else str(key))
+
+    def merge(self, other: Bloom) -> Bloom:
+        self._made.mergeInPlace(other._made)
+        return self
+
+
 def write_run(entries: DataFrame, path: str, partitions: int, bloom: bool = True) -> None:
     """A sorted run: range-partitioned files, sorted inside, with Parquet statistics and bloom filters on the key."""
     out = entries.repartitionByRange(partitions, "key").sortWithinPartitions(F.col("key"), F.col("seqno").desc()).write

@@ -261,7 +261,8 @@ def test_sorted_runs_are_written_and_pruned(spark, tmp_path):
 
 
 def test_tracer(spark):
-    t = observability.Tracer(capacity=2)
+    seen = []
+    t = observability.Tracer(capacity=2, export=seen.append)
     with t.span("outer") as outer:
         outer["attributes"] += [("k", "1"), ("k", "2")]
         with pytest.raises(KeyError):
@@ -270,7 +271,7 @@ def test_tracer(spark):
     with t.span("last"):
         pass
     rows = t.frame(spark).collect()
-    assert [r["name"] for r in rows] == ["last", "outer"] and len(t.done) == 3
+    assert [r["name"] for r in rows] == ["last", "outer"] and len(t.done) == 3 and seen == t.done
     got = {r["trace_id"]: (r["n"], r["errors"]) for r in observability.traces(spark.createDataFrame(t.done, observability.SPAN)).collect()}
     assert sorted(got.values()) == [(1, 0), (2, 1)]
 
@@ -286,3 +287,37 @@ def test_stream_state_is_folded_now_and_then(spark, tmp_path):
         fold.apply(spark.createDataFrame([(9, 9, "replayed", False)], kind), batch)
         assert len(fold.log.latest()[1]["parts"]) <= 2
     assert {r["key"]: r["value"] for r in fold.visible().collect()} == {0: "again", 1: "4", 2: "4"}
+
+
+def test_wal_is_replayed_up_to_a_broken_record(spark, tmp_path):
+    from sedimenta.sources.wal import RECORD, Wal
+
+    wal = Wal(spark, str(tmp_path / "w"))
+    wal.append("insert", 1, b"a", b"1")
+    wal.append("insert", 2, b"b", b"2")
+    wal.commit(1, 10)
+    wal.append("delete", 3, b"a")
+    wal.append("rollback", 2)
+    wal.commit(3, 11)
+    wal.append("insert", 4, b"lost")  # never synced
+    ops = lambda w: [(r["lsn"], r["kind"], r["key"], r["commit_ts"]) for r in w.recover().orderBy("commit_ts", "lsn").collect()]
+    again = Wal(spark, str(tmp_path / "w"))
+    assert ops(again) == [(0, "insert", b"a", 10), (3, "delete", b"a", 11)] and again.next == 6
+    part = again.log.latest()[1]["parts"][1]
+    rows = [tuple(r) for r in spark.read.parquet(part).orderBy("lsn").collect()]
+    rows[1] = (*rows[1][:3], b"changed", *rows[1][4:])
+    spark.createDataFrame(rows, RECORD).write.mode("overwrite").parquet(part)
+    assert ops(again) == [(0, "insert", b"a", 10)] and again.records().count() == 4  # the commit after it doesn't count
+    again.truncate()
+    assert ops(again) == [] and Wal(spark, str(tmp_path / "w")).next == 6
+    with pytest.raises(ValueError):
+        wal.append("other", 1)
+
+
+def test_bloom_filters_have_no_false_negatives(spark):
+    keys = spark.range(10_000).select(F.encode(F.col("id").cast("string"), "UTF-8").alias("key"))
+    bloom = lsm.Bloom.build(keys)
+    assert all(bloom.contains(str(i).encode()) for i in range(0, 10_000, 7))
+    assert sum(bloom.contains(str(i).encode()) for i in range(20_000, 24_000)) / 4_000 < 0.05
+    more = lsm.Bloom.build(keys.select(F.concat(F.col("key"), F.lit(b"x")).alias("key"))).merge(bloom)
+    assert more.contains(b"5") and more.contains(b"5x")
