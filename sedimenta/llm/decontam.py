@@ -131,7 +131,8 @@ def decontaminate(
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
     windows_of = written(windows_of.withColumn("g", F.sha2(F.to_json("items"), 256)))
-    sets = small(written(windows_of.select("g", "items").dropDuplicates(["g"])), bound=broadcast_rows)
+    sets = written(windows_of.select("g", "items").dropDuplicates(["g"]))
+    sets = small(sets, rows=sets.agg(F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0], bound=broadcast_rows)
     n_texts, size = windows_of.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("wt")), F.lit(0))).first()
     texts = windows_of.select("wt", "g")
     if n_texts <= broadcast_rows and size <= BROADCAST_BYTES:
