@@ -225,7 +225,8 @@ def near_duplicates(
 
     A class is a connected component of links; its id is the least document id in it, whose document is
     ``is_first``. ``n_links`` counts the other documents with a Jaccard similarity of ``threshold`` or more.
-    Texts without a word are linked to none. ``n_rows`` rows of ``docs`` agree in id and text.
+    Texts without a word, null ones among them, are linked to none. ``n_rows`` rows of ``docs`` agree in id and text;
+    null ids are equal and come first. An empty table has no rows; other columns aren't read, so their names may clash.
     """
     with_python(docs.sparkSession)
     bands = bands_for(threshold, recall, rows)

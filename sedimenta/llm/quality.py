@@ -113,7 +113,9 @@ def classify(
     """One row per row of ``docs``: doc_id, _th, p_doc, host_rate, path_rate, score, kept.
 
     A null host or path is a group of its own. A null text is empty. Rows with a null label, or an id that
-    ``docs`` doesn't have, don't train. Without labels of both kinds the classifier is their rate alone.
+    ``docs`` doesn't have, don't train; each row of an id that is listed more than once does. Without labels of both
+    kinds the classifier is their rate alone. An empty table has no rows; null ids are carried and don't train. Very
+    long texts are measured in one pass. Other columns of ``docs`` aren't read, so their names may clash.
     """
     with_python(docs.sparkSession)
     rows = docs.select(

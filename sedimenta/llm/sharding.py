@@ -39,7 +39,8 @@ def shard_rows(
     """(doc_id, size, text_crc32, shard, slot, grown_shard): one row per row of ``docs``.
 
     ``size`` is the UTF-8 length of the text plus 16, a null text having none. Rows of one id, and all
-    rows with a null id, share a shard. An empty table has no rows.
+    rows with a null id, share a shard. Of equal scores the later of the shards takes the record, but a new shard
+    none. An empty table has no rows. Other columns of ``docs`` aren't read, so their names may clash.
     """
     text, n = F.coalesce(F.col(text_col), F.lit("")), len(weights)
     rows = docs.select(
