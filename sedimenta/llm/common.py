@@ -29,13 +29,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Bytes of the rows that a Python worker gets in one Arrow batch, about; a row of more goes by itself.
+BATCH_BYTES = 4 << 20
+#: Workers stay for later tasks, so they give freed memory back: Arrow keeps none and malloc up to 8 MB.
+WORKER_ENV = {
+    "ARROW_DEFAULT_MEMORY_POOL": "system",
+    "MALLOC_ARENA_MAX": "1",
+    "MALLOC_MMAP_THRESHOLD_": str(4 << 20),
+    "MALLOC_TRIM_THRESHOLD_": str(8 << 20),
+}
+
+
 def with_python(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, if it is there for them too."""
+    """Let Python workers import this package from where the driver has it, if it is there for them too.
+
+    Their batches are bounded by bytes as well as by rows, and they give freed memory back, unless the session or
+    its environment says otherwise: two workers and a JVM whose heap is full share an executor's memory.
+    """
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    for name, value in WORKER_ENV.items():
+        env.setdefault(name, os.environ.get(name, value))
+    batch_bytes = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if batch_bytes not in spark.conf.getAll:
+        spark.conf.set(batch_bytes, str(BATCH_BYTES))
 
 
 #: Folders that ``cut`` and ``written`` have made, for each ``scratch`` that is open.

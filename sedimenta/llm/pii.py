@@ -29,6 +29,8 @@ KINDS = ["email", "ip", "card", "phone", "term"]
 ALPHA, PRIOR = 0.8, 1.0
 #: Most frequent terms (and bytes of one) that every executor gets, to leave out pairs early; the result doesn't depend on it.
 COMMON_TERMS, COMMON_BYTES = 50_000, 64
+#: Words that a task counts before it hands the counts on.
+HELD_WORDS = 200_000
 
 # what a pattern can begin with is bounded, so that long runs of digits or letters take linear time
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -107,13 +109,20 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, df): documents with the word, summed within a batch of rows."""
+    """(term, df): documents with the word, summed over batches until more than ``HELD_WORDS`` words are held."""
+    count: Counter = Counter()
+
+    def summed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "df"])
+
     for batch in batches:
-        count: Counter = Counter()
         for text in batch.column("_text").to_pylist():
             if text:
                 count.update(words(text))
-        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "df"])
+        if len(count) > HELD_WORDS:
+            yield summed()
+            count.clear()
+    yield summed()
 
 
 def term_spans(text: str, base: list[tuple[int, int]], told: set[str]) -> list[tuple[int, int]]:
