@@ -63,6 +63,8 @@ class TreeEncoder:
         self.specials = [t.content for t in added.values()]
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocab.values(), default=0) + 1, dtype=np.int64)
+        #: What an id takes between tasks.
+        self.kind = np.uint16 if len(self.width) <= 1 << 16 else np.int32
         for token, i in vocab.items():
             # a byte-level token has one character for each byte
             self.width[i] = len(token.encode()) if i in added else len(token)
@@ -124,6 +126,12 @@ class TreeEncoder:
                 pass
         return self.tok.decode_batch(ids, skip_special_tokens=False)
 
+    def packed(self, ids: np.ndarray) -> bytes:
+        return ids.astype(self.kind).tobytes()
+
+    def unpacked(self, data: bytes) -> np.ndarray:
+        return np.frombuffer(data, dtype=self.kind).astype(np.int64)
+
     def cuts(self, text: str) -> list[int]:
         """Places to cut a text at, never inside the string of an added token."""
         out = []
@@ -285,18 +293,19 @@ def encode_documents(
             at = 0
             for part in _calls(batch.column("text").to_pylist()):
                 own = batch.slice(at, len(part))
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array([ids for ids, _ in enc.encoded(part)], pa.list_(pa.int32()))], [*own.schema.names, "ids"])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array([enc.packed(ids) for ids, _ in enc.encoded(part)], pa.binary())], [*own.schema.names, "ids"])
                 at += len(part)
 
     def joined(pdf) -> np.ndarray:
-        return encoder(path, leaf_chars).tree(pdf["text"].tolist(), [np.asarray(x, dtype=np.int64) for x in pdf["ids"]])
+        enc = encoder(path, leaf_chars)
+        return enc.tree(pdf["text"].tolist(), [enc.unpacked(x) for x in pdf["ids"]])
 
     def up(pdf):
         """Neighbours to one node."""
         own = pdf.sort_values("node")
         out = own.iloc[:1].copy()
         out["node"] //= fan
-        out["text"], out["ids"] = ["".join(own["text"])], [joined(own).astype(np.int32)]
+        out["text"], out["ids"] = ["".join(own["text"])], [encoder(path, leaf_chars).packed(joined(own))]
         return out
 
     def top(pdf):
@@ -311,11 +320,11 @@ def encode_documents(
     key = ["doc_id", "th", "part", "nth"]
     node = f"doc_id {id_type}, th bigint, part int, nth bigint, node int, text string"
     long = rows.filter(size > leaf_chars).withColumn("th", F.xxhash64("text")).withColumn("part", F.spark_partition_id())
-    nodes = long.mapInArrow(pieces, node).repartition(*key, "node").mapInArrow(leaves, f"{node}, ids array<int>")
+    nodes = long.mapInArrow(pieces, node).repartition(*key, "node").mapInArrow(leaves, f"{node}, ids binary")
     level = F.floor(F.col("node") / fan).alias("up")
     n = math.ceil(longest / leaf_chars) + 1  # a cut may move on
     while n > fan:
-        nodes, n = nodes.groupBy(*key, level).applyInPandas(up, f"{node}, ids array<int>"), math.ceil(n / fan)
+        nodes, n = nodes.groupBy(*key, level).applyInPandas(up, f"{node}, ids binary"), math.ceil(n / fan)
     return short.unionByName(nodes.groupBy(*key).applyInPandas(top, schema))
 
 
@@ -327,4 +336,5 @@ def default_tokenizer() -> str:
 
 def op3_bpe_tree(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return encode_documents(docs, default_tokenizer(), keep_ids=False)
+    # rows are a few digests: few files of them, as a writer starts a process for each file's mode where Hadoop has no native library
+    return encode_documents(docs, default_tokenizer(), keep_ids=False).hint("rebalance")

@@ -1,5 +1,8 @@
 """What Python workers hold at once: batches of bounded bytes, and no memory that is free."""
 
+import hashlib
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -46,3 +49,26 @@ def test_long_texts_over_many_batches(spark):
         assert run() == want
     finally:
         spark.conf.set(key, before)
+
+
+def test_few_files_for_digests(spark, tmp_path):
+    """A writer may start a process for each file, so tasks that encode don't write one each."""
+    texts = {i: " ".join(f"word{i * j % 89}é" for j in range(30 * i)) for i in range(1, 100, 9)}
+    assert max(map(len, texts.values())) > bpe.LEAF_CHARS
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    bpe.op3_bpe_tree(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    assert len(list((tmp_path / "out").glob("part-*"))) == 1
+    tok, sha = bpe.TreeEncoder(bpe.default_tokenizer()).tok, lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = {(i, len(ids := tok.encode(t, add_special_tokens=False).ids), sha(",".join(map(str, ids))), sha(t)) for i, t in texts.items()}
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == want
+
+
+def test_ids_of_any_vocabulary_between_tasks(tmp_path):
+    from tokenizers import Tokenizer, models
+
+    for n, size in ((1 << 16, 2), (70_000, 4)):
+        Tokenizer(models.WordLevel({f"w{i}": i for i in range(n)}, unk_token="w0")).save(path := f"{tmp_path}/{n}.json")
+        enc, ids = bpe.TreeEncoder(path), np.array([0, 1, 65_535, n - 1], dtype=np.int32)
+        assert len(enc.packed(ids)) == size * len(ids)
+        assert enc.unpacked(enc.packed(ids)).tolist() == ids.tolist()
+        assert enc.unpacked(enc.packed(ids[:0])).tolist() == []
