@@ -3,7 +3,8 @@
 Exact search by one query is a projection and a top-k, which Spark runs as partial heaps. A batch of queries
 goes through Arrow and a matrix product per batch of vectors, in one scan of the vectors: queries within a checked
 size are sent to every task, which keeps its k best for each, so what meets is k rows per query and task, not a row
-per pair. More queries are dealt out in blocks that meet blocks of vectors.
+per pair. More queries are dealt out in blocks that meet blocks of vectors. A task compares a step of queries with a
+step of vectors at a time, so that beside the queries and what it keeps it holds the same however many there are.
 
 A vector that is null, of another length than the query or not finite can't be inserted, and is nobody's neighbour.
 """
@@ -22,8 +23,10 @@ from sedimenta.sources.folders import with_python
 
 MAX_DIM, MAX_K, MAX_ID_BYTES, EXACT_LIMIT = 65_536, 4_096, 128, 512
 TINY = 1.1754943508222875e-38  # least normal number of single precision
-#: Bytes of queries that are sent to every task, and results that a task keeps, at most; queries compared at a time.
-QUERY_BYTES, KEPT_ROWS, QUERY_STEP = 64 * 1024 * 1024, 2_000_000, 256
+#: Bytes of queries that are sent to every task, and results that a task keeps, at most.
+QUERY_BYTES, KEPT_ROWS = 64 * 1024 * 1024, 2_000_000
+#: Queries and vectors compared at a time, and numbers of the pairs among them that are measured at a time.
+QUERY_STEP, VECTOR_STEP, MEASURED = 256, 1024, 1 << 18
 
 
 class Metric(IntEnum):
@@ -104,9 +107,11 @@ def _matrix(v: pa.Array, dim: int) -> np.ndarray:
     return v.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(v), dim)
 
 
-def _nearest(q: np.ndarray, x: np.ndarray, names: np.ndarray, k: int, metric: Metric, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _nearest(q: np.ndarray, x: np.ndarray, names: np.ndarray, k: int, metric: Metric, bound: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, name, order) of the k best vectors of each query at least; with ``wanted`` (query, vector) of those only.
 
+    Vectors farther than a query's ``bound``, the order of the k-th best found elsewhere, may be left out.
+
     The matrix product only chooses: what may be among the k best within its rounding is measured by sums from left
     to right, as the one-query form has them.
     """
@@ -124,19 +129,22 @@ def _nearest(q: np.ndarray, x: np.ndarray, names: np.ndarray, k: int, metric: Me
         o, off = np.where(zero, 1.0, 1 - np.clip(both / np.where(zero, 1.0, n), -1, 1)), np.full_like(both, eps)
     if wanted is not None:
         o = np.where(wanted, o, np.inf)
-    edge = np.partition(o + off, k - 1, axis=1)[:, k - 1]
-    qi, xi = np.nonzero((o - off <= edge[:, None]) & (o < np.inf))
-    out = np.empty(len(qi))
-    for at in range(0, len(qi), 100_000):
-        a, b = q[qi[at : at + 100_000]], x[xi[at : at + 100_000]]
+    low, edge = o - off, bound.copy()
+    many = np.flatnonzero((low <= edge[:, None]).sum(axis=1) > k)
+    if len(many):
+        edge[many] = np.minimum(edge[many], np.partition(o[many] + off[many], k - 1, axis=1)[:, k - 1])
+    qi, xi = np.nonzero((low <= edge[:, None]) & (o < np.inf))
+    out, step = np.empty(len(qi)), max(1, MEASURED // dim)
+    for at in range(0, len(qi), step):
+        a, b = q[qi[at : at + step]], x[xi[at : at + step]]
         if metric == Metric.L2:
-            out[at : at + 100_000] = np.cumsum((b - a) ** 2, axis=1)[:, -1]
+            out[at : at + step] = np.cumsum((b - a) ** 2, axis=1)[:, -1]
             continue
         dots = np.cumsum(b * a, axis=1)[:, -1]
         if metric == Metric.COSINE:
             n = np.sqrt(np.cumsum(b * b, axis=1)[:, -1]) * np.sqrt(np.cumsum(a * a, axis=1)[:, -1])
             dots = np.where(n <= TINY, 0.0, np.clip(dots / np.where(n <= TINY, 1.0, n), -1, 1)) - 1
-        out[at : at + 100_000] = -dots
+        out[at : at + step] = -dots
     return qi, names[xi], out
 
 
@@ -149,6 +157,16 @@ def _best(qi: np.ndarray, names: np.ndarray, o: np.ndarray, k: int) -> tuple[np.
     return qi[keep], names[keep], o[keep]
 
 
+def _bound(found: tuple[np.ndarray, np.ndarray, np.ndarray] | None, n: int, k: int) -> np.ndarray:
+    """Order of the k-th of each of n queries in what ``_best`` gave; infinite if there are fewer."""
+    bound = np.full(n, np.inf)
+    if found is not None:
+        qi, _, o = found
+        last = np.arange(len(qi)) - np.searchsorted(qi, qi) == k - 1
+        bound[qi[last]] = o[last]
+    return bound
+
+
 Probed = Callable[[np.ndarray], np.ndarray]
 
 
@@ -192,29 +210,33 @@ def _scan(asked: pa.Table | None, k: int, metric: Metric, dim: int, probed: Prob
     q = _matrix(asked.column("query").combine_chunks(), dim)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple] = []
-        looked = None if probed is None else probed(q)
+        kept: dict[int, tuple] = {}  # by the first query of a step
+        keeps = len(q) * k <= KEPT_ROWS  # else more than a task should hold
 
-        def made(part: list[tuple]) -> pa.RecordBatch:
-            qi, names, o = (np.concatenate(c) for c in zip(*part))
-            return pa.RecordBatch.from_arrays([ids.take(pa.array(qi)), pa.array(names), pa.array(o)], ["query_id", id_col, "o"])
+        def made(at: int, found: tuple) -> pa.RecordBatch:
+            qi, names, o = found
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(qi + at)), pa.array(names), pa.array(o)], ["query_id", id_col, "o"])
 
         for batch in batches:
             if not len(batch):
                 continue
             x, names = _matrix(batch.column("v"), dim), batch.column("id").to_numpy(zero_copy_only=False)
             names = names.astype(str) if names.dtype == object else names
-            new = []
+            lists = None if probed is None else batch.column("l").to_numpy()
             for at in range(0, len(q), QUERY_STEP):
-                wanted = None if looked is None else looked[at : at + QUERY_STEP][:, batch.column("l").to_numpy()]
-                qi, near, o = _nearest(q[at : at + QUERY_STEP], x, names, k, metric, wanted)
-                new.append(_best(qi + at, near, o, k))
-            if len(q) * k > KEPT_ROWS:  # more than a task should hold
-                yield made(new)
-                continue
-            kept = [_best(*(np.concatenate(c) for c in zip(*kept, *new)), k)]
-        if kept:
-            yield made(kept)
+                part = q[at : at + QUERY_STEP]
+                looked, found = None if probed is None else probed(part), kept.get(at)
+                for i in range(0, len(x), VECTOR_STEP):
+                    wanted = None if looked is None else looked[:, lists[i : i + VECTOR_STEP]]
+                    new = _nearest(part, x[i : i + VECTOR_STEP], names[i : i + VECTOR_STEP], k, metric, _bound(found, len(part), k), wanted)
+                    if found is None or len(new[0]):
+                        found = _best(*(new if found is None else (np.concatenate(c) for c in zip(found, new))), k)
+                if keeps:
+                    kept[at] = found
+                else:
+                    yield made(at, found)
+        for at, found in kept.items():
+            yield made(at, found)
 
     return run
 
@@ -227,7 +249,7 @@ def _blocks(rows: DataFrame, asked: DataFrame, n: int, query_block: int, schema:
     right = rows.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = list(_scan(a.select(["query_id", "query"]), k, metric, dim, probed, id_col)(iter(b.combine_chunks().to_batches(max_chunksize=10_000)))) if len(a) and len(b) else []
+        out = list(_scan(a.select(["query_id", "query"]), k, metric, dim, probed, id_col)(iter(b.to_batches(max_chunksize=10_000)))) if len(a) and len(b) else []
         none = pa.table([pa.array([], a.schema.field("query_id").type), pa.array([], b.schema.field("id").type), pa.array([], pa.float64())], ["query_id", id_col, "o"])
         return pa.Table.from_batches(out) if out else none
 

@@ -2,8 +2,10 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,28 @@ def test_batches_equal_single_queries(spark, metric):
     assert vector.knn_batch(df, queries.limit(0), 4, metric).count() == vector.knn_batch(df, queries, 0, metric).count() == 0
 
 
+@pytest.mark.parametrize("metric", list(Metric))
+def test_a_scan_holds_the_same_for_large_batches_and_many_copies(metric):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(16_000, 16)), np.ones((4_000, 16))])
+    q = np.concatenate([rng.normal(size=(500, 16)), np.ones((100, 16))])
+    asked = pa.table({"query_id": pa.array(range(600)), "query": pa.array(list(q), pa.list_(pa.float64()))})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20_000)), pa.array(list(x), pa.list_(pa.float64()))], ["id", "v"])
+    tracemalloc.start()
+    out = pa.Table.from_batches(vector._scan(asked, 5, metric, 16, None, "id")(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 50e6
+    n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)
+    o = {Metric.L2: lambda: ((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2), Metric.DOT: lambda: -q @ x.T, Metric.COSINE: lambda: 1 - q @ x.T / n}[metric]()
+    o = np.round(o, 9)
+    best = np.lexsort((np.broadcast_to(np.arange(20_000), o.shape), o))[:, :5]
+    got = {}
+    for r in sorted(out.to_pylist(), key=lambda r: (r["query_id"], round(r["o"], 9), r["id"])):
+        got.setdefault(r["query_id"], []).append(r["id"])
+    assert [got[i] for i in range(600)] == best.tolist()
+
+
 def test_batches_keep_near_ties_of_large_vectors_and_text_ids(spark):
     rng = random.Random(4)
     far = [1e6 + rng.random() for _ in range(6)]
