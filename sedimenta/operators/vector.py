@@ -168,14 +168,16 @@ def _bound(found: tuple[np.ndarray, np.ndarray, np.ndarray] | None, n: int, k: i
 
 
 Probed = Callable[[np.ndarray], np.ndarray]
+Listed = Callable[[np.ndarray], np.ndarray]
 
 
-def knn_batch(df: DataFrame, queries: DataFrame, k: int, metric: Metric, id_col: str = "vec_id", vector: str = "embedding", query_block: int = 10_000, probed: Probed | None = None, query_bytes: int = QUERY_BYTES) -> DataFrame:
+def knn_batch(df: DataFrame, queries: DataFrame, k: int, metric: Metric, id_col: str = "vec_id", vector: str = "embedding", query_block: int = 10_000, probed: Probed | None = None, query_bytes: int = QUERY_BYTES, listed: Listed | None = None) -> DataFrame:
     """(query_id, id, distance, score, rank) of every query of (query_id, query).
 
     Queries of up to ``query_bytes`` are sent to every task of one scan; beyond that, blocks of ``query_block`` queries
     meet blocks of vectors. All queries must have one length and be finite. ``probed`` gives the places (query, list) that
-    the lists have for the queries of a block, and whether they are looked into, over the column ``list``.
+    the lists have for the queries of a block, and whether they are looked into, over the column ``list``, or what
+    ``listed`` gives for the vectors of a batch.
     """
     check_query([0.0], None, k)
     with_python(df.sparkSession)
@@ -187,10 +189,10 @@ def knn_batch(df: DataFrame, queries: DataFrame, k: int, metric: Metric, id_col:
         raise ValueError("queries must be finite and of one dimension")
     dim = most or 1
     kinds = {c: t for c, t in (("query_id", queries.schema["query_id"].dataType.simpleString()), (id_col, df.schema[id_col].dataType.simpleString()))}
-    lists = [] if probed is None else [F.col("list").alias("l")]
+    lists = [] if probed is None or listed else [F.col("list").alias("l")]
     rows = df.filter(usable(F.col(vector), dim)).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), *lists)
     schema = f"query_id {kinds['query_id']}, {id_col} {kinds[id_col]}, o double"
-    args = (k, metric, dim, probed, id_col)
+    args = (k, metric, dim, probed, id_col, listed)
     if n * dim * 8 <= query_bytes:
         run = _scan(asked.toArrow() if n else None, *args)
         found = rows.mapInArrow(run, schema) if n and k else rows.sparkSession.createDataFrame([], schema)
@@ -202,7 +204,7 @@ def knn_batch(df: DataFrame, queries: DataFrame, k: int, metric: Metric, id_col:
     return ranked.select("query_id", id_col, d.alias("distance"), score(metric, d).alias("score"), "rank")
 
 
-def _scan(asked: pa.Table | None, k: int, metric: Metric, dim: int, probed: Probed | None, id_col: str):
+def _scan(asked: pa.Table | None, k: int, metric: Metric, dim: int, probed: Probed | None, id_col: str, listed: Listed | None = None):
     """One pass over batches of vectors, with the k best so far of every query."""
     if asked is None:
         return None
@@ -222,7 +224,7 @@ def _scan(asked: pa.Table | None, k: int, metric: Metric, dim: int, probed: Prob
                 continue
             x, names = _matrix(batch.column("v"), dim), batch.column("id").to_numpy(zero_copy_only=False)
             names = names.astype(str) if names.dtype == object else names
-            lists = None if probed is None else batch.column("l").to_numpy()
+            lists = None if probed is None else listed(x) if listed else batch.column("l").to_numpy()
             for at in range(0, len(q), QUERY_STEP):
                 part = q[at : at + QUERY_STEP]
                 looked, found = None if probed is None else probed(part), kept.get(at)
@@ -241,7 +243,7 @@ def _scan(asked: pa.Table | None, k: int, metric: Metric, dim: int, probed: Prob
     return run
 
 
-def _blocks(rows: DataFrame, asked: DataFrame, n: int, query_block: int, schema: str, k: int, metric: Metric, dim: int, probed: Probed | None, id_col: str) -> DataFrame:
+def _blocks(rows: DataFrame, asked: DataFrame, n: int, query_block: int, schema: str, k: int, metric: Metric, dim: int, probed: Probed | None, id_col: str, listed: Listed | None) -> DataFrame:
     """Blocks of queries against blocks of vectors: each vector is sent to every block of queries."""
     parts = max(1, -(-n // query_block))
     spread = max(1, rows.rdd.getNumPartitions())
@@ -249,7 +251,7 @@ def _blocks(rows: DataFrame, asked: DataFrame, n: int, query_block: int, schema:
     right = rows.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = list(_scan(a.select(["query_id", "query"]), k, metric, dim, probed, id_col)(iter(b.to_batches(max_chunksize=10_000)))) if len(a) and len(b) else []
+        out = list(_scan(a.select(["query_id", "query"]), k, metric, dim, probed, id_col, listed)(iter(b.to_batches(max_chunksize=10_000)))) if len(a) and len(b) else []
         none = pa.table([pa.array([], a.schema.field("query_id").type), pa.array([], b.schema.field("id").type), pa.array([], pa.float64())], ["query_id", id_col, "o"])
         return pa.Table.from_batches(out) if out else none
 
@@ -285,11 +287,13 @@ class IvfIndex:
 
     Lists are made in a space whose Euclidean order is the metric's: unit vectors for the cosine, and for dot products
     vectors with one more coordinate that brings all to the length of the longest. Up to ``EXACT_LIMIT`` vectors every list
-    is searched.
+    is searched. An index that was just built has the rows without their list too, and ``listed``: a batch of queries then
+    places the vectors where it compares them, by one Python worker a task instead of two in a row.
     """
 
-    def __init__(self, centroids: np.ndarray, lists: DataFrame, id_col: str, vector: str, metric: Metric, rows: int):
+    def __init__(self, centroids: np.ndarray, lists: DataFrame, id_col: str, vector: str, metric: Metric, rows: int, unlisted: DataFrame | None = None, listed: Listed | None = None):
         self.centroids, self.lists, self.id_col, self.vector, self.metric, self.rows = centroids, lists, id_col, vector, metric, rows
+        self.unlisted, self.listed = lists if listed is None else unlisted, listed
 
     @classmethod
     def build(cls, df: DataFrame, lists: int, id_col: str = "vec_id", vector: str = "embedding", sample: int = 50_000, seed: int = 7, metric: Metric = Metric.L2) -> IvfIndex:
@@ -306,22 +310,34 @@ class IvfIndex:
             return cls(np.zeros((1, dim + (metric == Metric.DOT))), good.withColumn("list", F.lit(0)), id_col, vector, metric, 0)
         space = cls._space(metric, longest)
         at = F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) < min(1.0, sample / rows) * 1_000_003
-        spaced = good.filter(at).select(v.alias("v")).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(list(space(_matrix(b.column("v"), dim))), pa.list_(pa.float64()))], ["v"]) for b in batches if len(b)), "v array<double>")
+        spaced = good.filter(at).select(cls._spaced(metric, v, longest).alias("v"))  # k-means zips it with itself: Python would run twice a task
         model = KMeans(k=lists, seed=seed, maxIter=10).fit(spaced.select(array_to_vector("v").alias("features")))
         centroids = np.array(model.clusterCenters())
 
+        def listed(x: np.ndarray) -> np.ndarray:
+            return ((centroids * centroids).sum(1)[None, :] - 2 * space(x) @ centroids.T).argmin(axis=1)
+
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if len(b):
-                    x = space(_matrix(b.column("_v"), dim))
-                    near = ((centroids * centroids).sum(1)[None, :] - 2 * x @ centroids.T).argmin(axis=1)
+                    near = listed(_matrix(b.column("_v"), dim))
                     yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(near, pa.int32())], [*names, "list"])
 
         names = [c for c in good.columns if c != "list"]
         kinds = ", ".join(f"`{c}` {good.schema[c].dataType.simpleString()}" for c in names)
-        out = cls(centroids, good.select(*names, v.alias("_v")).mapInArrow(assign, f"{kinds}, list int"), id_col, vector, metric, rows)
+        out = cls(centroids, good.select(*names, v.alias("_v")).mapInArrow(assign, f"{kinds}, list int"), id_col, vector, metric, rows, good, listed)
         return out
 
+    @staticmethod
+    def _spaced(metric: Metric, v: Column, longest: float) -> Column:
+        """What ``_space`` does, as a column."""
+        if metric == Metric.L2:
+            return v
+        if metric == Metric.DOT:
+            return F.concat(v, F.array(F.sqrt(F.greatest(F.lit(0.0), F.lit(longest * longest) - dot(v, v)))))
+        unit = F.struct(v.alias("v"), norm(v).alias("n"))  # the norm once a vector
+        return F.transform(F.array(unit), lambda u: F.transform(u["v"], lambda x: x / F.when(u["n"] <= TINY, 1.0).otherwise(u["n"])))[0]
+
     @staticmethod
     def _space(metric: Metric, longest: float) -> Callable[[np.ndarray], np.ndarray]:
         def space(x: np.ndarray) -> np.ndarray:
@@ -355,7 +371,7 @@ class IvfIndex:
     def search_batch(self, queries: DataFrame, k: int, probes: int, query_block: int = 10_000, query_bytes: int = QUERY_BYTES) -> DataFrame:
         """``knn_batch`` over the ``probes`` nearest lists of each query."""
         place, upto = Places(self.centroids, self.metric), self._probes(probes)
-        return knn_batch(self.lists, queries, k, self.metric, self.id_col, self.vector, query_block, lambda q: place.ranks(q) < upto, query_bytes)
+        return knn_batch(self.unlisted, queries, k, self.metric, self.id_col, self.vector, query_block, lambda q: place.ranks(q) < upto, query_bytes, self.listed)
 
     def probes_for(self, queries: DataFrame, k: int, target: float = 0.95, sample: int = 200) -> int:
         """Least number of lists whose measured recall reaches ``target``, over ``sample`` queries (least hashes of ids).
@@ -368,7 +384,7 @@ class IvfIndex:
             return len(self.centroids)
         asked = {r["query_id"]: i for i, r in enumerate(rows)}
         places = self.ranks(np.array([r["query"] for r in rows], dtype=np.float64))
-        best = knn_batch(self.lists, some, k, self.metric, self.id_col, self.vector).select("query_id", self.id_col)
+        best = knn_batch(self.unlisted, some, k, self.metric, self.id_col, self.vector).select("query_id", self.id_col)
         exact = self.lists.select(self.id_col, "list").join(F.broadcast(best), self.id_col).collect()
         at = np.bincount([places[asked[r["query_id"]], r["list"]] for r in exact], minlength=len(self.centroids))
         reached = np.cumsum(at) >= target * max(1, at.sum())

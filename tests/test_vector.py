@@ -116,6 +116,33 @@ def test_inverted_lists_reach_the_recall(spark, metric):
     assert vector.recall(vector.search_batch(df, queries, 10, metric, index, 1), exact, 10).first()["recall"] == 1.0
 
 
+@pytest.mark.parametrize("metric", list(Metric))
+def test_lists_are_fitted_without_python(spark, metric, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+
+    plans, fit = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, df: (plans.append(df), fit(self, df))[1])
+    rows = cloud(60, 4, 2) + [(60, [0.0] * 4)]
+    index = vector.IvfIndex.build(spark.createDataFrame(rows, VEC), 3, metric=metric)
+    assert index.rows == 61 and "MapInArrow" not in plans[0]._jdf.queryExecution().optimizedPlan().toString()
+    x = np.array([v for _, v in rows], dtype=np.float32).astype(np.float64)
+    space = index._space(metric, np.sqrt((x * x).sum(axis=1).max()))(x)
+    assert np.allclose(sorted(r["features"].toArray().tolist() for r in plans[0].collect()), sorted(space.tolist()))
+
+
+@pytest.mark.parametrize("metric", list(Metric))
+def test_a_batch_places_vectors_where_it_compares_them(spark, metric):
+    """One Python worker a task; the same neighbours as from lists that were written before."""
+    df = spark.createDataFrame([(i, [x * (1 + i % 5) for x in v]) for i, v in cloud(800, 8, 9)], VEC).cache()
+    queries = df.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    index = vector.IvfIndex.build(df, 8, metric=metric)
+    stored = vector.IvfIndex(index.centroids, index.lists.cache(), "vec_id", "embedding", metric, index.rows)
+    for size in (0, vector.QUERY_BYTES):
+        got, want = (x.search_batch(queries, 5, 3, query_block=17, query_bytes=size) for x in (index, stored))
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == (size > 0)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_recall_over_embeddings(spark, sf):
     from sedimenta.plans.catalogue import QUERIES
